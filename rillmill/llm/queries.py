@@ -1,0 +1,17 @@
+"""The registered queries of this subpackage, with SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from rillmill.llm.quality_rules import quality_rules
+from rillmill.llm.shared import read
+
+
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+}
+
+ORACLE_SQL: dict[str, str] = {}

@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
+from rillmill.llm.fingerprints import document_fingerprints
+from rillmill.llm.packing import pack
+from rillmill.llm.quality_bayes import quality_documents
 from rillmill.llm.quality_rules import quality_rules
 from rillmill.llm.shared import read
+from rillmill.llm.source_mixing import PRODUCTION, mix
+from rillmill.llm.sql import MIX_SQL
+from rillmill.llm.toxicity import toxic_documents
 
 
 def op3_quality_rules(spark, sf_dir):
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_source_mixing(spark, sf_dir):
+    out = mix(read(spark, sf_dir, "documents"), PRODUCTION)
+    return out.withColumnsRenamed({"_domain": "domain", "_lang": "lang", "_source": "source", "_epoch": "epoch"})
+
+
+def op6_document_fingerprints(spark, sf_dir):
+    return document_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_packing(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def op10_quality_bayes(spark, sf_dir):
+    return quality_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_source_mixing": op4_source_mixing,
+    "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_toxicity": op7_toxicity,
+    "op9_packing": op9_packing,
+    "op10_quality_bayes": op10_quality_bayes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": MIX_SQL,
+}

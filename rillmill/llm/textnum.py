@@ -16,6 +16,7 @@ CHUNK_CHARS = 1 << 19
 _SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _WS = np.zeros(0x3001, dtype=bool)
 _WS[_SPACES] = True
+_NOT_ALNUM = np.array([not chr(i).isalnum() for i in range(0x3001)])
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -69,6 +70,10 @@ class Chars:
     def spaces(self) -> np.ndarray:
         return _WS[np.minimum(self.cp, 0x3000)] & (self.cp <= 0x3000)
 
+    def not_alnum(self) -> np.ndarray:
+        """Code points that are neither letters nor digits; those beyond U+3000 count as letters."""
+        return _NOT_ALNUM[np.minimum(self.cp, 0x3000)] & (self.cp <= 0x3000)
+
     def sums(self, values: np.ndarray, n: int = 1) -> np.ndarray:
         """Sum for each document over the n-grams that lie wholly in it; values[i] is that of the n-gram at i."""
         total = np.zeros(len(values) + 1)
@@ -89,11 +94,14 @@ class Chars:
 
 
 class Words:
-    """Words of the texts: ``hash`` for each word; those of document i are ``off[i]:off[i + 1]``."""
+    """Words of the texts: ``hash`` for each word; those of document i are ``off[i]:off[i + 1]``.
+
+    ``between`` marks the code points that separate words: white space, if not given.
+    """
 
-    def __init__(self, chars: Chars):
+    def __init__(self, chars: Chars, between: np.ndarray | None = None):
         cp, n = chars.cp, len(chars.cp)
-        ws = chars.spaces()
+        ws = chars.spaces() if between is None else between
         before = np.ones(n, dtype=bool)
         before[1:] = ws[:-1]
         inner = chars.off[:-1]
@@ -111,6 +119,14 @@ class Words:
         h = (total[self.end] - total[self.start]) * inv[self.start]
         self.hash = mix64(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+        self._total, self._inv = total, inv
+
+    def prefix_hash(self, n: int) -> np.ndarray:
+        """Hash of the first n characters of each word, as if they were a word; shorter words whole."""
+        end = np.minimum(self.end, self.start + n)
+        h = (self._total[end] - self._total[self.start]) * self._inv[self.start]
+        return mix64(h + (end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
     def counts(self) -> np.ndarray:
         return np.diff(self.off)
 

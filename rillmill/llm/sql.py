@@ -40,3 +40,39 @@ from (select doc_id, domain, lang, source, unnest(range(whole + case when before
 
 
 MIX_SQL = mix_sql()
+
+
+def line_dedup_sql(min_chars: int, table: str = "documents") -> str:
+    """Brute force: the text of every shortest long-enough window, all over the corpus; all but the first place of each text are deleted."""
+    return f"""
+with one as (select *, string_split(text, chr(10)) as l from {table}),
+     line as (select doc_id, unnest(range(len(l))) as pos, unnest(l) as line from one),
+     total as (select *, sum(length(line)) over (partition by doc_id order by pos) as upto, upto - length(line) as before from line),
+     win as (select a.doc_id, a.pos as s, min(b.pos) as e from total a join total b on a.doc_id = b.doc_id and b.pos >= a.pos and b.upto - a.before >= {min_chars} group by 1, 2
+             union
+             select a.doc_id, max(a.pos) as s, b.pos as e from total a join total b on a.doc_id = b.doc_id and b.pos >= a.pos and b.upto - a.before >= {min_chars} group by 1, 3),
+     named as (select win.*, array_to_string(l[s + 1 : e + 1], chr(10)) as run from win join one using (doc_id)),
+     later as (select *, row_number() over (partition by run, e - s order by doc_id, s) as k from named),
+     gone as (select distinct doc_id, unnest(range(s, e + 1)) as pos from later where k > 1),
+     kept as (select doc_id, string_agg(line, chr(10) order by pos) as text from line anti join gone using (doc_id, pos) group by 1),
+     hit as (select distinct doc_id from gone)
+select o.doc_id, k.text, o.lang, o.source, case when h.doc_id is null then o.n_chars else length(k.text) end as n_chars
+from {table} o join kept k using (doc_id) left join hit h using (doc_id)
+"""
+
+
+def ngram_join_sql(threshold: float, table: str = "documents") -> str:
+    """Brute force over all pairs that share a word trigram."""
+    return f"""
+with w as (select doc_id, [x for x in string_split_regex(lower(text), '\\s+') if x <> ''] as w from {table} where doc_id is not null and text is not null),
+     g as (select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')]
+                  else [concat_ws(' ', w[i], w[i + 1], w[i + 2]) for i in range(1, len(w) - 1)] end)) as g
+           from w where len(w) > 0),
+     s as (select g, list_sort(list_distinct(list(doc_id))) as ids, row_number() over () as k from g group by g),
+     e as (select k, len(g) as n, unnest(g) as t from s),
+     p as (select a.k as u, b.k as v, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as j from e a join e b on a.t = b.t and a.k < b.k group by 1, 2)
+select list_sort(list_distinct(list_concat(x.ids, y.ids))) as doc_ids, round(j, 6) as jaccard
+from p join s x on p.u = x.k join s y on p.v = y.k where j >= {threshold}
+union all
+select ids, 1.0 from s where len(ids) > 1
+"""

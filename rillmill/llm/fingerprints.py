@@ -13,7 +13,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from rillmill.llm.shared import sheltered
 from rillmill.llm.textnum import Chars, Words, chunks, mix64
 
 SAMPLES = 64
@@ -91,4 +93,4 @@ def document_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signatures(b.column(1).to_pylist(), samples), pa.list_(pa.int32()))], ["doc_id", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, signature array<int>")
+    return sheltered(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, signature array<int>")

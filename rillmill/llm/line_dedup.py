@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillmill.llm.shared import cut, release, union_all
+from rillmill.llm.shared import cut, release, sheltered, union_all
 
 MIN_CHARS = 50
 _PLACE = ["_doc", "_row", "_pos"]
@@ -148,6 +148,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     documents is the order of doc_id, so the copy with the smallest id stays. All other
     columns are carried along. An empty table gives an empty result.
     """
+    names, docs = docs.columns, sheltered(docs)
     found = repeated_windows(docs, min_chars)
     gone = found.select("_doc", "_row", F.explode(F.sequence(F.col("_pos"), F.col("_pos") + F.col("_len") - 1)).alias("_pos"))
     gone = gone.groupBy("_doc", "_row").agg(F.collect_set("_pos").alias("_gone"))
@@ -160,4 +161,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*names)

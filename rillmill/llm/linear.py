@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmill.llm.shared import sheltered
 from rillmill.llm.textnum import Chars, Words, chunks
 
 BITS = 16
@@ -148,12 +149,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, cap: int) -> DataFr
     broadcast is bounded by ``cap`` and the documents aren't shuffled. Rows with a null id or label are left out;
     of a doc_id with several labels the smallest counts.
     """
+    docs, labels = sheltered(docs), sheltered(labels, ("doc_id", label))
     lab = labels.select("doc_id", F.col(label).cast("double").alias("_y")).where("doc_id is not null and _y is not null")
     lab = lab.groupBy("doc_id").agg(F.min("_y").alias("_y"))
     n = lab.count()
     if n > cap:
         lab = lab.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * cap / n))
-    return docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("doc_id", "_y", "text")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(lab), "doc_id").select("doc_id", "_y", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, cap: int) -> Model:

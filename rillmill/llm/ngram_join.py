@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmill.llm.shared import cut
+from rillmill.llm.shared import cut, sheltered
 from rillmill.llm.textnum import Chars, Words, chunks, mix64
 
 NGRAM, THRESHOLD = 3, 0.5
@@ -288,6 +288,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, thresho
 
 def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Sets (_set, _first, _ids, ...) and similar pairs of sets (_a, _b, jaccard)."""
+    docs = sheltered(docs).select(F.col("doc_id").cast("bigint"), "text")
     one = points(docs, n)
     sets = cut(
         one.groupBy("_set").agg(
@@ -331,7 +332,7 @@ def keep_one_of_each_group(docs: DataFrame, n: int = NGRAM, threshold: float = T
     edges = pairs.join(first.withColumnsRenamed({"_set": "_a", "_first": "_u"}), "_a").join(first.withColumnsRenamed({"_set": "_b", "_first": "_v"}), "_b").select("_u", "_v")
     members = sets.where(F.size("_ids") > 1).select(F.explode("_ids").alias("_v"), F.col("_first").alias("_u")).select("_u", "_v")
     gone = components(cut(edges.unionByName(members).where("_u <> _v"))).where("_v <> _root").select("_v").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_v"), "left_anti")
+    return sheltered(docs).join(gone, F.col("doc_id") == F.col("_v"), "left_anti").toDF(*docs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -13,16 +13,15 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillmill.llm.shared import cut
+from rillmill.llm.shared import cut, sheltered
 from rillmill.llm.textnum import Chars, chunks
 
-import numpy as np
-
 WINDOW = 2048
 _BUCKETS = 4096
 
@@ -149,7 +148,7 @@ def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     an order by hash of id. An empty table gives an empty result. Columns beside doc_id and text
     are not read, whatever their names.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, sheltered(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     size = F.lit(window)
     counted = cut(word_counts(docs, ["doc_id"]).where("_n > 0"))
     counted = counted.select("doc_id", F.col("_n"), (F.col("_n") % size).alias("_l"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmill.llm.linear import Model, sigmoid, train
-from rillmill.llm.shared import cut
+from rillmill.llm.shared import cut, sheltered
 
 SAMPLE_ROWS = 4000
 THRESHOLD = 0.5
@@ -99,8 +99,8 @@ def posterior(base: float) -> Column:
     return F.when(p <= 0, F.lit(0.0)).otherwise(F.round(1 / (1 + F.exp(-odds)), 6))
 
 
-def quality_posteriors(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``posterior`` for every row of docs.
+def quality_posteriors(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_all: bool = False) -> DataFrame:
+    """doc_id, or with keep_all all columns of docs (extra ones by other names, see ``sheltered``), and ``posterior`` for every row of docs.
 
     Rates count every row; a blank or null text counts as evidence 0 and has
     posterior 0. Null sources and languages are a site of their own, null ids
@@ -109,11 +109,13 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, sample_rows: int = SA
     only evidence. Columns that aren't used are not read, whatever their names.
     """
     model = train(docs, labels, "quality", sample_rows)
+    docs = sheltered(docs)
+    keep = docs.columns if keep_all else ["doc_id"]
     sites = cut(rates(evidence(docs, model, [])))
-    joined = evidence(docs, model, list(keep)).join(sites, ["_host", "_path"])
+    joined = evidence(docs, model, keep).join(sites, ["_host", "_path"])
     return joined.select(*keep, posterior(model.base).alias("posterior"))
 
 
-def quality_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), **params) -> DataFrame:
+def quality_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep_all: bool = False, **params) -> DataFrame:
     """The rows with a posterior of at least ``threshold``; see ``quality_posteriors``."""
-    return quality_posteriors(docs, labels, keep=keep, **params).where(F.col("posterior") >= threshold)
+    return quality_posteriors(docs, labels, keep_all=keep_all, **params).where(F.col("posterior") >= threshold)

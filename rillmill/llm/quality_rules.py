@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmill.llm.linear import Model, sigmoid, train
+from rillmill.llm.shared import sheltered
 
 SAMPLE_ROWS = 4000
 KEEP_AT, PREFER_AT = 0.5, 0.9
@@ -40,7 +41,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             rule = np.where(p >= prefer_at, "prefer", np.where(p >= keep_at, "keep", "reject"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(rule.tolist(), pa.string())], ["doc_id", "probability", "rule"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, probability double, rule string")
+    return sheltered(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, probability double, rule string")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from rillmill.llm.fingerprints import document_fingerprints
+from rillmill.llm.html_extract import extract_html
+from rillmill.llm.license_scan import license_scan
 from rillmill.llm.line_dedup import MIN_CHARS, dedup_lines
 from rillmill.llm.ngram_join import THRESHOLD, similar_documents
 from rillmill.llm.packing import pack
@@ -10,10 +12,18 @@ from rillmill.llm.quality_bayes import quality_documents
 from rillmill.llm.quality_rules import quality_rules
 from rillmill.llm.shared import read
 from rillmill.llm.source_mixing import PRODUCTION, mix
-from rillmill.llm.sql import MIX_SQL, line_dedup_sql, ngram_join_sql
+from rillmill.llm.sql import LICENSE_SQL, MIX_SQL, line_dedup_sql, ngram_join_sql
 from rillmill.llm.toxicity import toxic_documents
 
 
+def op1_license_scan(spark, sf_dir):
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+def op2_html_extract(spark, sf_dir):
+    return extract_html(read(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -48,6 +58,8 @@ def op10_quality_bayes(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_html_extract": op2_html_extract,
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op5_line_dedup": op5_line_dedup,
@@ -59,6 +71,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": LICENSE_SQL,
     "op4_source_mixing": MIX_SQL,
     "op5_line_dedup": line_dedup_sql(MIN_CHARS),
     "op8_ngram_join": ngram_join_sql(THRESHOLD),

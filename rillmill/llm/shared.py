@@ -7,7 +7,6 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -53,10 +52,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def concat_ws_key(*cols: str):
-    """Hash of several columns, null included, as a bigint."""
-    return F.xxhash64(*cols)
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def sheltered(df: DataFrame, own: tuple[str, ...] = DOCUMENT) -> DataFrame:
+    """df with every column but ``own`` renamed by place, so that no other name can clash with the ones an operator uses.
+
+    A column is its namesake in ``own``, or the first that differs by case only. ``toDF(*df.columns)`` gives the names back.
+    """
+    place = {}
+    for name in own:
+        same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name]
+        if same:
+            place[same[0]] = name
+    return df.toDF(*(place.get(i, f"__other{i}") for i in range(len(df.columns))))

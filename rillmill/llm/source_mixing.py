@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillmill.llm.packing import word_counts
-from rillmill.llm.shared import cut
+from rillmill.llm.shared import cut, sheltered
 
 
 @dataclass(frozen=True)
@@ -114,8 +114,8 @@ def leaf_plan(counted: DataFrame, recipe: Recipe) -> DataFrame:
     return budgets.join(last, leaf, "left").select(*leaf, "_full", F.coalesce("_last", F.lit("")).alias("_last"))
 
 
-def mix(docs: DataFrame, recipe: Recipe = PRODUCTION, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with _domain, _lang, _source and _epoch: a row for each epoch in which a row of docs is taken.
+def mix(docs: DataFrame, recipe: Recipe = PRODUCTION, keep_all: bool = False) -> DataFrame:
+    """doc_id, or with keep_all all columns of docs (extra ones by other names, see ``sheltered``), with _domain, _lang, _source and _epoch: a row for each epoch in which a row of docs is taken.
 
     Tokens are white-space separated words. Rows without any (null, empty or
     blank texts) are never taken. Null or absent languages and sources form
@@ -123,11 +123,13 @@ def mix(docs: DataFrame, recipe: Recipe = PRODUCTION, keep: tuple[str, ...] = ("
     rows that repeat an id are taken together. A leaf exceeds its budget by less than
     the last id's tokens. An empty table gives an empty result. Other columns aren't read, whatever their names.
     """
+    docs = sheltered(docs)
     site = leaf_columns(docs, recipe)
     leaves = docs.select("doc_id", "text", *(c.alias(n) for n, c in site.items()))
     counted = cut(word_counts(leaves, ["doc_id", *site]))
     plan = cut(leaf_plan(counted, recipe))
-    if keep == ("doc_id",):
+    keep = docs.columns if keep_all else ["doc_id"]
+    if not keep_all:
         rows = counted.where("_n > 0")
     else:
         rows = docs.select(*keep, *(c.alias(n) for n, c in site.items())).where(F.col("text").rlike(r"(?U)\S"))

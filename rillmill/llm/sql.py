@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rillmill.llm.license_scan import SLACK, TEMPLATES
 from rillmill.llm.source_mixing import PRODUCTION, Recipe
 
 
@@ -76,3 +77,22 @@ from p join s x on p.u = x.k join s y on p.v = y.k where j >= {threshold}
 union all
 select ids, 1.0 from s where len(ids) > 1
 """
+
+
+def license_sql(templates: tuple = TEMPLATES, slack: int = SLACK, table: str = "documents") -> str:
+    """Brute force: every place of every text against every template; templates have one or two phrases here."""
+    assert all(len(t.words) <= 2 for t in templates)
+    array = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    rows = ",\n            ".join(f"('{t.license}', {array(t.words[0])}, {array(t.words[1]) if len(t.words) > 1 else 'cast([] as varchar[])'})" for t in templates)
+    return f"""
+with t(license, p, q) as (values {rows}),
+     w as (select row_number() over () as k, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from {table} where text is not null),
+     f as (select list(distinct p[1]) as f from t),
+     places as (select k, doc_id, w, unnest([i for i in range(1, len(w) + 1) if list_contains(f, w[i])]) as i from w, f),
+     hit as (select distinct k, doc_id, license, i from places join t on w[i] = p[1] and w[i : i + len(p) - 1] = p
+             where len(q) = 0 or len([g for g in range(0, {slack} + 1) if w[i + len(p) + g : i + len(p) + g + len(q) - 1] = q]) > 0)
+select doc_id, license, cast(count(*) as integer) as n_notices, cast(min(i) - 1 as integer) as first_word from hit group by k, doc_id, license
+"""
+
+
+LICENSE_SQL = license_sql()

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmill.llm.linear import labelled
+from rillmill.llm.shared import sheltered
 from rillmill.llm.textnum import Chars, Words, chunks, mix64, word_hash
 
 SAMPLE_ROWS = 12000
@@ -254,7 +255,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
             p[[not t or not any(map(str.isalnum, t)) for t in texts]] = 0.0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "probability"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, probability double")
+    return sheltered(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, probability double")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:

@@ -127,7 +127,7 @@ def test_html_pages(spark):
 
 def test_every_stage(spark, tmp_path):
     d, lab = tables(spark, ROWS, LABELLED)
-    lab.write.parquet(str(tmp_path / "labels.parquet"))
+    lab.toDF("doc_id", "quality", "toxic", "extra").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, d, str(tmp_path))
         got = out.collect()

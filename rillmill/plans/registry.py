@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillmill.plans import alarm, joining, routing
+from rillmill.plans import alarm, joining, routing, windows
 
-_MODULES = (alarm, routing, joining)
+_MODULES = (alarm, routing, joining, windows)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

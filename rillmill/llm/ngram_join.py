@@ -26,8 +26,8 @@ from rillmill.llm.shared import cut, sheltered
 from rillmill.llm.textnum import Chars, Words, chunks, mix64
 
 NGRAM, THRESHOLD = 3, 0.5
-SKETCH, GROUPS = 16, 32
-CELL = 2000
+SKETCH, GROUPS = 16, 256
+HOT, BLOCK = 256, 2000
 _LEAF = 32
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -55,8 +55,18 @@ def set_keys(bounds: np.ndarray, h: np.ndarray) -> list[bytes]:
     return [flat[16 * i : 16 * i + 16] for i in range(len(bounds) - 1)]
 
 
+def pack_counts(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts cut to 15, two in a byte, and the sum of what was cut off."""
+    low = np.minimum(count, 15).astype(np.uint8)
+    return low[:, 0::2] << np.uint8(4) | low[:, 1::2], (count - low).sum(axis=1)
+
+
+def unpack_counts(packed: np.ndarray) -> np.ndarray:
+    return np.stack([packed >> np.uint8(4), packed & np.uint8(15)], axis=2).reshape(len(packed), -1)
+
+
 def points(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, _set, _n, _sketch, _point) of each row that has words and an id."""
+    """(doc_id, _set, _n, _sketch, _point, _over) of each row that has words and an id."""
 
     def run(batches):
         for b in batches:
@@ -68,7 +78,7 @@ def points(docs: DataFrame, n: int) -> DataFrame:
                     continue
                 doc = np.repeat(np.arange(len(size)), size)
                 group = ((h >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64)
-                count = np.bincount(doc * GROUPS + group, minlength=len(size) * GROUPS).astype("<u4").reshape(-1, GROUPS)
+                packed, over = pack_counts(np.bincount(doc * GROUPS + group, minlength=len(size) * GROUPS).reshape(-1, GROUPS))
                 keys = set_keys(bounds, h)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -76,30 +86,32 @@ def points(docs: DataFrame, n: int) -> DataFrame:
                         pa.array([keys[i] for i in have], pa.binary()),
                         pa.array(size[have], pa.int32()),
                         pa.array([h[bounds[i] : min(bounds[i + 1], bounds[i] + SKETCH)].view(np.int64) for i in have], pa.list_(pa.int64())),
-                        pa.array([count[i].tobytes() for i in have], pa.binary()),
+                        pa.array([packed[i].tobytes() for i in have], pa.binary()),
+                        pa.array(over[have], pa.int32()),
                     ],
-                    ["doc_id", "_set", "_n", "_sketch", "_point"],
+                    ["doc_id", "_set", "_n", "_sketch", "_point", "_over"],
                 )
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, _set binary, _n int, _sketch array<bigint>, _point binary")
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, _set binary, _n int, _sketch array<bigint>, _point binary, _over int")
 
 
 class RTree:
     """Boxes over count vectors, bulk-loaded by halving at the median of the coordinate (or size) that varies most against its mean."""
 
-    def __init__(self, rows: np.ndarray, n: np.ndarray, point: np.ndarray):
-        self.rows, self.low_n, self.high = rows, int(n[rows].min()), point[rows].max(axis=0)
+    def __init__(self, rows: np.ndarray, n: np.ndarray, point: np.ndarray, over: np.ndarray):
+        self.rows, self.low_n = rows, int(n[rows].min())
+        self.high, self.over = point[rows].max(axis=0), int(over[rows].max())
         self.children: list[RTree] = []
         if len(rows) > _LEAF:
-            values = np.concatenate([n[rows, None], point[rows]], axis=1).astype(float)
+            values = np.concatenate([n[rows, None], point[rows]], axis=1).astype(np.float32)
             spread = values.std(axis=0) / np.sqrt(values.mean(axis=0) + 1)
             order = rows[np.argsort(values[:, spread.argmax()], kind="stable")]
-            self.children = [RTree(part, n, point) for part in (order[: len(rows) // 2], order[len(rows) // 2 :])]
+            self.children = [RTree(part, n, point, over) for part in (order[: len(rows) // 2], order[len(rows) // 2 :])]
 
 
 def _join(a: RTree, b: RTree, share: float, out: list) -> None:
     """Pairs of leaves whose boxes don't rule each other out."""
-    if np.minimum(a.high, b.high).sum() < share * (a.low_n + b.low_n) - 1e-9:
+    if int(np.minimum(a.high, b.high).sum(dtype=np.int64)) + min(a.over, b.over) < share * (a.low_n + b.low_n) - 1e-9:
         return
     if not a.children and not b.children:
         out.append((a.rows, b.rows))
@@ -116,27 +128,24 @@ def _join(a: RTree, b: RTree, share: float, out: list) -> None:
             _join(a, x, share, out)
 
 
-def candidates(n: np.ndarray, point: np.ndarray, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose summed minima allow ``threshold``; with side, only pairs of different sides."""
+def candidates(n: np.ndarray, point: np.ndarray, over: np.ndarray, one: np.ndarray, other: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``one``, or of one of ``one`` and one of ``other``, whose summed minima allow the threshold."""
     share = threshold / (1 + threshold)
-    rows = np.arange(len(n))
-    if side is None:
-        tree = RTree(rows, n, point)
-        leaves: list = []
-        _join(tree, tree, share, leaves)
-    else:
-        leaves = []
-        if (side == 0).any() and (side == 1).any():
-            _join(RTree(rows[side == 0], n, point), RTree(rows[side == 1], n, point), share, leaves)
+    leaves: list = []
+    if len(one) and (other is None or len(other)):
+        tree = RTree(one, n, point, over)
+        _join(tree, tree if other is None else RTree(other, n, point, over), share, leaves)
     left, right = [], []
     for a, b in leaves:
-        bound = np.minimum(point[a][:, None, :], point[b][None, :, :]).sum(axis=2)
-        ok = bound >= share * (n[a][:, None] + n[b][None, :]) - 1e-9
+        need = share * (n[a][:, None] + n[b][None, :]) - 1e-9
+        ok = np.minimum(n[a][:, None], n[b][None, :]) >= need
         if a is b:
             ok &= np.tri(len(a), k=-1, dtype=bool).T
         i, j = np.nonzero(ok)
-        left.append(a[i])
-        right.append(b[j])
+        bound = np.minimum(point[a[i]], point[b[j]]).sum(axis=1, dtype=np.int32) + np.minimum(over[a[i]], over[b[j]])
+        ok = bound >= need[i, j]
+        left.append(a[i[ok]])
+        right.append(b[j[ok]])
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
@@ -180,64 +189,102 @@ def _edges(t: pa.Table, key: int) -> np.ndarray:
     return np.append(np.flatnonzero(change), t.num_rows)
 
 
-def cell_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(_cell, _i, _j, _a, _b): pairs of sets that pass the bound, each in the cell of the least hash they share.
+def cells(sets: DataFrame) -> DataFrame:
+    """(_cell, _i, _j, _guest, _set, _hot): which sets meet where.
 
-    A cell of more than CELL sets is cut into blocks, and each pair of blocks
-    is joined in a task of its own.
+    A cell of up to HOT sets is joined as it is. A larger one comes from a passage
+    that many documents share, or from a large group of copies. Documents with
+    enough hashes that are in no such cell ("rich" ones) find their partners in
+    their other cells, so in a hot cell two rich ones needn't meet; all others meet all they can be similar to: hot
+    cells are split by classes of size, doubling each time, and a class's own sets, which aren't rich, meet each
+    other and guests of its own and both adjacent classes. Classes of more
+    than BLOCK own sets are cut into blocks, and each pair of blocks meets in a task of its own.
     """
     posts = sets.select("_set", F.explode("_sketch").alias("_cell"))
     sizes = posts.groupBy("_cell").agg(F.count("*").alias("_c")).where("_c > 1")
-    blocks = F.ceil(F.col("_c") / CELL).cast("int")
-    posts = posts.join(sizes, "_cell").withColumn("_side", F.pmod(F.xxhash64("_set"), blocks).cast("int"))
-    posts = posts.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    posts = posts.select("_set", "_cell", F.least("_side", "_other").alias("_i"), F.greatest("_side", "_other").alias("_j"), "_side")
-    full = posts.join(sets.select("_set", "_n", "_sketch", "_point"), "_set").select("_cell", "_i", "_j", "_side", "_set", "_n", "_sketch", "_point")
-    full = full.repartition("_cell", "_i", "_j").sortWithinPartitions("_cell", "_i", "_j")
+    posts = cut(posts.join(sizes, "_cell"))
+    hot = posts.where(F.col("_c") > HOT)
+    plain = posts.where(F.col("_c") <= HOT).select("_cell", F.lit(-1).alias("_class"), F.lit(0).alias("_i"), F.lit(0).alias("_j"), F.lit(False).alias("_guest"), "_set")
+    known = hot.groupBy("_set").agg(F.collect_set("_cell").alias("_hot"))
+    rich = (F.size("_sketch") == SKETCH) & (F.size("_hot") <= SKETCH // 4)
+    known = cut(known.join(sets.select("_set", "_n", "_sketch"), "_set").select("_set", "_hot", F.floor(F.log2("_n")).cast("int").alias("_class"), rich.alias("_rich")))
+    members = hot.select("_cell", "_set").join(known.select("_set", "_class", "_rich"), "_set")
+    own = members.where("not _rich")
+    blocks = own.groupBy("_cell", "_class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    mine = own.join(blocks, ["_cell", "_class"]).withColumn("_b", F.pmod(F.xxhash64("_set"), F.col("_blocks")).cast("int"))
+    mine = mine.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    # in the meeting of blocks i < j, those of j are the guests
+    mine = mine.select("_cell", "_class", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") > F.col("_o")).alias("_guest"), "_set")
+    to = F.when(F.col("_rich"), F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)).otherwise(F.array(F.col("_class") - 1))
+    guests = members.withColumn("_class", F.explode(to)).join(blocks, ["_cell", "_class"]).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    guests = guests.select("_cell", "_class", "_i", F.col("_i").alias("_j"), F.lit(True).alias("_guest"), "_set")
+    met = plain.unionByName(mine).unionByName(guests)
+    return met.join(known.select("_set", "_hot", "_rich"), "_set", "left")
+
+
+_MEETING = ["_cell", "_class", "_i", "_j"]
+
+
+def cell_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(_cell, _class, _i, _j, _a, _b): pairs of sets that pass the bound, each once, where the least hash that brings both together says."""
+    full = cells(sets).join(sets.select("_set", "_n", "_sketch", "_point", "_over"), "_set")
+    full = full.select(*_MEETING, "_guest", "_set", "_n", "_over", "_sketch", "_point", F.coalesce("_rich", F.lit(False)).alias("_rich"), "_hot")
+    full = full.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
 
     def run(batches):
-        for t in by_group(batches, 3):
+        for t in by_group(batches, 4):
             t = t.combine_chunks()
-            edges = _edges(t, 3)
-            cell = np.asarray(t.column("_cell")).view(np.uint64)
-            i, j, side = (np.asarray(t.column(c)) for c in ("_i", "_j", "_side"))
-            n = np.asarray(t.column("_n")).astype(np.int64)
+            edges = _edges(t, 4)
+            where = [np.asarray(t.column(c)) for c in _MEETING]
+            cell = where[0].view(np.uint64)
+            guest, rich = np.asarray(t.column("_guest")), np.asarray(t.column("_rich"))
+            n, over = np.asarray(t.column("_n")).astype(np.int64), np.asarray(t.column("_over")).astype(np.int64)
             names = t.column("_set").to_pylist()
-            point = np.frombuffer(b"".join(t.column("_point").to_pylist()), dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
+            point = unpack_counts(np.frombuffer(b"".join(t.column("_point").to_pylist()), dtype=np.uint8).reshape(-1, GROUPS // 2))
             lists = t.column("_sketch").chunk(0)
             off = np.asarray(lists.offsets).astype(np.int64)
             values = np.asarray(lists.values).view(np.uint64)
             at = off[:-1, None] + np.arange(SKETCH)
             sketch = np.where(at < off[1:, None], values[np.minimum(at, len(values) - 1)], _NONE)
-            out: dict[str, list] = {"c": [], "i": [], "j": [], "a": [], "b": []}
+            cool = sketch.copy()  # without hashes of hot cells
+            for r, h in enumerate(t.column("_hot").to_pylist()):
+                if h:
+                    cool[r, np.isin(sketch[r], np.array(h, dtype=np.int64).view(np.uint64))] = _NONE
+            a_, b_, w_ = [], [], []
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if hi - lo < 2:
                     continue
-                two = i[lo] != j[lo]
-                a, b = candidates(n[lo:hi], point[lo:hi], (side[lo:hi] == j[lo]).astype(int) if two else None, threshold)
-                if not len(a):
-                    continue
-                mine = first_common(sketch[lo:hi], a, b) == cell[lo]
-                for x, y in zip((a[mine] + lo).tolist(), (b[mine] + lo).tolist()):
-                    p, q = names[x], names[y]
-                    out["a"].append(min(p, q))
-                    out["b"].append(max(p, q))
-                k = int(mine.sum())
-                out["c"] += [int(cell[lo].view(np.int64))] * k
-                out["i"] += [int(i[lo])] * k
-                out["j"] += [int(j[lo])] * k
-            if out["a"]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["c"], pa.int64()), pa.array(out["i"], pa.int32()), pa.array(out["j"], pa.int32()), pa.array(out["a"], pa.binary()), pa.array(out["b"], pa.binary())],
-                    ["_cell", "_i", "_j", "_a", "_b"],
-                )
+                rows = np.arange(lo, hi)
+                one, other = rows[~guest[lo:hi]], rows[guest[lo:hi]]
+                found = [candidates(n, point, over, one, None, threshold)] if where[2][lo] == where[3][lo] else []
+                if len(other):
+                    found.append(candidates(n, point, over, one, other, threshold))
+                for a, b in found:
+                    if not len(a):
+                        continue
+                    least = first_common(sketch, a, b)
+                    both = rich[a] & rich[b]
+                    if both.any():
+                        least[both] = first_common(cool, a[both], b[both])
+                    ok = least == cell[lo]
+                    a_.append(a[ok])
+                    b_.append(b[ok])
+                    w_.append(np.full(int(ok.sum()), lo))
+            if a_:
+                a, b, w = np.concatenate(a_), np.concatenate(b_), np.concatenate(w_)
+                for s in range(0, len(a), 100_000):
+                    x, y, v = a[s : s + 100_000].tolist(), b[s : s + 100_000].tolist(), w[s : s + 100_000]
+                    pairs = [(names[i], names[j]) if names[i] < names[j] else (names[j], names[i]) for i, j in zip(x, y)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c[v]) for c in where] + [pa.array([q[0] for q in pairs], pa.binary()), pa.array([q[1] for q in pairs], pa.binary())], [*_MEETING, "_a", "_b"]
+                    )
 
-    return full.mapInArrow(run, "_cell bigint, _i int, _j int, _a binary, _b binary")
+    return full.mapInArrow(run, "_cell bigint, _class int, _i int, _j int, _a binary, _b binary")
 
 
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
     """(_a, _b, jaccard) of the pairs that are similar: the n-gram sets of a cell's documents are brought together once for all its pairs."""
-    cell = ["_cell", "_i", "_j"]
+    cell = _MEETING
     need = pairs.select(*cell, F.col("_a").alias("_set")).union(pairs.select(*cell, F.col("_b").alias("_set"))).distinct()
     need = need.groupBy("_set").agg(F.collect_list(F.struct(*cell)).alias("_cells")).join(sets.select("_set", "_first"), "_set")
     texts = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("_first")).select("_set", "_cells", "text")
@@ -247,21 +294,21 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, thresho
             names, cells, texts = (b.column(k).to_pylist() for k in range(3))
             for lo, bounds, h in gram_sets(texts, n):
                 keys = set_keys(bounds, h)
-                rows = [(c["_cell"], c["_i"], c["_j"], names[lo + d], h[bounds[d] : bounds[d + 1]].tobytes()) for d in range(len(keys)) if keys[d] == names[lo + d] for c in cells[lo + d]]
+                rows = [(*(c[k] for k in cell), names[lo + d], h[bounds[d] : bounds[d + 1]].tobytes()) for d in range(len(keys)) if keys[d] == names[lo + d] for c in cells[lo + d]]
                 for s in range(0, len(rows), 2000):
-                    c, i, j, name, g = zip(*rows[s : s + 2000])
+                    c, k, i, j, name, g = zip(*rows[s : s + 2000])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(name, pa.binary()), pa.array(g, pa.binary())],
+                        [pa.array(c, pa.int64()), pa.array(k, pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(name, pa.binary()), pa.array(g, pa.binary())],
                         [*cell, "_set", "_grams"],
                     )
 
-    have = texts.mapInArrow(grams, "_cell bigint, _i int, _j int, _set binary, _grams binary").withColumn("_b", F.lit(None).cast("binary"))
+    have = texts.mapInArrow(grams, "_cell bigint, _class int, _i int, _j int, _set binary, _grams binary").withColumn("_b", F.lit(None).cast("binary"))
     ask = pairs.select(*cell, F.col("_a").alias("_set"), F.lit(None).cast("binary").alias("_grams"), "_b")
     both = have.unionByName(ask).repartition(*cell).sortWithinPartitions(*cell, F.col("_grams").isNull())
 
     def check(batches):
-        for t in by_group(batches, 3):
-            edges = _edges(t, 3)
+        for t in by_group(batches, 4):
+            edges = _edges(t, 4)
             names, sets_, others = (t.column(c).to_pylist() for c in ("_set", "_grams", "_b"))
             a, b, s = [], [], []
             for lo, hi in zip(edges[:-1], edges[1:]):
@@ -292,7 +339,7 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     one = points(docs, n)
     sets = cut(
         one.groupBy("_set").agg(
-            F.min("doc_id").alias("_first"), F.sort_array(F.collect_set("doc_id")).alias("_ids"), F.first("_n").alias("_n"), F.first("_sketch").alias("_sketch"), F.first("_point").alias("_point")
+            F.min("doc_id").alias("_first"), F.sort_array(F.collect_set("doc_id")).alias("_ids"), F.first("_n").alias("_n"), F.first("_sketch").alias("_sketch"), F.first("_point").alias("_point"), F.first("_over").alias("_over")
         )
     )
     pairs = cut(cell_pairs(sets, threshold))

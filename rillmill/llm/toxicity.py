@@ -1,9 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon is a list of common insults together with words and word stems
-that labelled rows show to be toxic; a third of the training sample gives that
-lexicon, a third grows the trees and a third calibrates, so that no part is
-fitted on what another has already seen.
+that labelled rows show to be toxic. Lexicon, trees and calibration are
+cross-fitted, so that none is fitted on what another has already seen.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ SAMPLE_ROWS = 12000
 THRESHOLD = 0.5
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 STEM = 6
+FOLDS = 3
 INSULTS = """
 idiot idiots idiotic moron morons moronic imbecile imbeciles stupid dumb dumbass fool fools loser losers clown clowns
 trash garbage scum vermin filth filthy pathetic worthless disgusting repulsive vile pig pigs rat cockroach parasite
@@ -146,8 +146,8 @@ class Trees:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE):
         self.depth = depth
-        self.cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
-        for f, c in enumerate(self.cuts):
+        self.cuts = [np.zeros(1)] * x.shape[1] if not len(y) else [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
+        for f, c in enumerate(self.cuts if len(y) else ()):
             if len(c) < 4:  # a feature that is mostly zero is cut by its other values
                 v = x[x[:, f] > 0, f]
                 self.cuts[f] = np.unique(np.concatenate([c, [0.0], np.quantile(v, np.linspace(0, 0.9, 10)) if len(v) else []]))
@@ -204,14 +204,19 @@ def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
+    """The lexicon comes from all rows; every row that trees and calibration learn from has features by a lexicon, and a score by trees, that haven't seen it."""
+
     def __init__(self, texts: list, y: np.ndarray):
-        part = np.arange(len(y)) % 3
-        pick = lambda k: ([t for t, p in zip(texts, part) if p == k], y[part == k])
-        self.words, self.stems = learn_lexicon(*pick(0))
-        xt, yt = pick(1)
-        self.trees = Trees(dense(xt, self.words, self.stems), yt)
-        xc, yc = pick(2)
-        self.steps = isotonic(self.trees.log_odds(dense(xc, self.words, self.stems)), yc) if len(yc) else (np.zeros(1), np.full(1, 0.0))
+        part = np.arange(len(y)) % FOLDS
+        pick = lambda rows: [t for t, r in zip(texts, rows) if r]
+        x, z = np.zeros((len(y), len(FEATURES))), np.zeros(len(y))
+        for k in range(FOLDS):
+            x[part == k] = dense(pick(part == k), *learn_lexicon(pick(part != k), y[part != k]))
+        for k in range(FOLDS):
+            z[part == k] = Trees(x[part != k], y[part != k]).log_odds(x[part == k])
+        self.words, self.stems = learn_lexicon(texts, y)
+        self.trees = Trees(x, y)
+        self.steps = isotonic(z, y)
 
     def probability(self, texts: list) -> np.ndarray:
         z = self.trees.log_odds(dense(texts, self.words, self.stems))

@@ -24,6 +24,7 @@ LABELLED = np.array([
     # menus: linked words among linked words
     (0, 0, 1, 1, 1, 1, 0), (1, 1, 1, 1, 1, 1, 0), (2, 1, 1, 1, 2, 1, 0), (1, 1, 2, 1, 1, 1, 0), (1, 1, 1, 1, 9, 0, 0), (3, 1, 4, 1, 2, 1, 0), (2, 1, 6, 1, 14, 0, 0), (0, 0, 5, 1, 40, 0, 0),
     (40, 0, 2, 1, 1, 1, 0), (85, .02, 3, 1, 3, 1, 0), (12, 0, 8, .9, 7, .8, 0), (5, .8, 12, .75, 9, .9, 0), (120, 0, 15, .6, 6, 1, 0), (4, 1, 22, .7, 18, .6, 0), (6, 1, 30, .55, 12, 1, 0), (10, .5, 9, .6, 0, 0, 0),
+    (1, 1, 1, 1, 12, 0, 0), (1, 1, 1, 1, 45, 0, 0), (1, 1, 2, 1, 80, 0, 0), (2, 1, 1, 1, 7, 0, 0), (30, 0, 1, 1, 1, 1, 0), (60, 0, 2, 1, 45, 0, 0), (1, 1, 3, 1, 150, .02, 0),
     # advertisements and other lines between a menu and the text
     (1, 1, 7, 0, 10, 0, 0), (1, 1, 8, 0, 12, 0, 0), (1, 1, 14, 0, 9, 0, 0), (2, 1, 5, 0, 60, 0, 0), (1, 1, 10, 0, 6, 0, 0), (3, 1, 12, 0, 18, 0, 0), (1, 1, 3, 0, 11, 0, 0), (2, 1, 18, .1, 14, 0, 0), (1, 1, 16, 0, 22, 0, 0),
     # footers: nothing follows
@@ -32,6 +33,7 @@ LABELLED = np.array([
     (2, 1, 3, 0, 2, 1, 0), (1, 1, 2, 0, 1, 1, 0), (6, .8, 4, .5, 5, 1, 0), (0, 0, 2, 0, 1, 1, 0), (0, 0, 3, 0, 4, 1, 0), (3, .6, 1, 0, 4, .7, 0),
     # headings
     (8, 0, 10, 0, 12, 0, 1), (9, 0, 6, 0, 75, 0, 1), (14, 0, 11, 0, 10, 0, 1), (7, 0, 3, 0, 30, .05, 1), (40, 0, 4, 0, 55, 0, 1), (95, .03, 7, 0, 120, 0, 1), (6, 0, 12, 0, 9, 0, 1), (0, 0, 9, 0, 48, 0, 1), (0, 0, 12, 0, 90, .02, 1),
+    (1, 1, 9, 0, 40, 0, 1), (2, 1, 7, 0, 85, 0, 1), (1, 1, 11, 0, 120, .02, 1), (3, 1, 8, 0, 50, .05, 1),
     # paragraphs
     (10, 0, 60, 0, 45, 0, 1), (12, 0, 25, 0, 80, .02, 1), (55, 0, 14, 0, 62, 0, 1), (30, 0, 8, 0, 41, 0, 1), (120, .02, 200, .03, 90, 0, 1), (75, 0, 40, .1, 12, 0, 1), (44, 0, 2, 0, 33, 0, 1), (18, 0, 5, 0, 9, 0, 1),
     (65, 0, 3, 0, 12, 0, 1), (20, 0, 1, 0, 15, 0, 1), (11, 0, 34, .2, 50, .1, 1), (38, .1, 28, .3, 44, 0, 1), (4, 0, 90, 0, 11, 0, 1), (2, 0, 6, 0, 70, 0, 1), (9, 0, 9, 0, 12, 0, 1), (70, 0, 35, .02, 8, .2, 1),

@@ -198,7 +198,9 @@ def cells(sets: DataFrame) -> DataFrame:
     their other cells, so in a hot cell two rich ones needn't meet; all others meet all they can be similar to: hot
     cells are split by classes of size, doubling each time, and a class's own sets, which aren't rich, meet each
     other and guests of its own and both adjacent classes. Classes of more
-    than BLOCK own sets are cut into blocks, and each pair of blocks meets in a task of its own.
+    than BLOCK own sets are cut into blocks, and each pair of blocks meets in a group of its own.
+    Guests are cut into parties of that size (numbered below 0), each of which meets each block, so
+    no group holds more than about 2 BLOCK sets however many documents share a passage.
     """
     posts = sets.select("_set", F.explode("_sketch").alias("_cell"))
     sizes = posts.groupBy("_cell").agg(F.count("*").alias("_c")).where("_c > 1")
@@ -216,9 +218,15 @@ def cells(sets: DataFrame) -> DataFrame:
     # in the meeting of blocks i < j, those of j are the guests
     mine = mine.select("_cell", "_class", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") > F.col("_o")).alias("_guest"), "_set")
     to = F.when(F.col("_rich"), F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)).otherwise(F.array(F.col("_class") - 1))
-    guests = members.withColumn("_class", F.explode(to)).join(blocks, ["_cell", "_class"]).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    guests = guests.select("_cell", "_class", "_i", F.col("_i").alias("_j"), F.lit(True).alias("_guest"), "_set")
-    met = plain.unionByName(mine).unionByName(guests)
+    guests = members.withColumn("_class", F.explode(to)).join(blocks, ["_cell", "_class"])
+    parties = guests.groupBy("_cell", "_class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parties"))
+    party = -1 - F.pmod(F.xxhash64(F.lit(1), "_set"), F.col("_parties")).cast("int")
+    guests = guests.join(parties, ["_cell", "_class"]).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    guests = guests.select("_cell", "_class", "_i", party.alias("_j"), F.lit(True).alias("_guest"), "_set")
+    hosts = own.join(blocks, ["_cell", "_class"]).join(parties, ["_cell", "_class"])
+    hosts = hosts.withColumn("_i", F.pmod(F.xxhash64("_set"), F.col("_blocks")).cast("int")).withColumn("_j", F.explode(F.sequence(-F.col("_parties"), F.lit(-1))))
+    hosts = hosts.select("_cell", "_class", "_i", "_j", F.lit(False).alias("_guest"), "_set")
+    met = plain.unionByName(mine).unionByName(hosts).unionByName(guests)
     return met.join(known.select("_set", "_hot", "_rich"), "_set", "left")
 
 

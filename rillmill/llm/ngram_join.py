@@ -150,13 +150,20 @@ def candidates(n: np.ndarray, point: np.ndarray, over: np.ndarray, one: np.ndarr
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def first_common(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least hash that both sketches hold, for each pair of rows."""
+def meeting_keys(sketch: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Order of hashes as places to meet: the most frequent first, then the least hash; the greatest key stands for no place."""
+    most = np.uint64((1 << 24) - 2)
+    key = (most - np.minimum(count.astype(np.uint64), most)) << np.uint64(40) | sketch >> np.uint64(24)
+    return np.where(sketch == _NONE, _NONE, key)
+
+
+def first_common(sketch: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first key of a hash that both sketches hold, for each pair of rows."""
     out = np.empty(len(a), dtype=np.uint64)
     for s in range(0, len(a), 1 << 14):
-        x, y = sketch[a[s : s + (1 << 14)]], sketch[b[s : s + (1 << 14)]]
-        hit = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x != _NONE)
-        out[s : s + (1 << 14)] = np.where(hit, x, _NONE).min(axis=1)
+        i, j = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
+        hit = (sketch[i][:, :, None] == sketch[j][:, None, :]).any(axis=2)
+        out[s : s + (1 << 14)] = np.where(hit, key[i], _NONE).min(axis=1)
     return out
 
 
@@ -189,8 +196,8 @@ def _edges(t: pa.Table, key: int) -> np.ndarray:
     return np.append(np.flatnonzero(change), t.num_rows)
 
 
-def cells(sets: DataFrame) -> DataFrame:
-    """(_cell, _i, _j, _guest, _set, _hot): which sets meet where.
+def cells(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_cell, _class, _i, _j, _guest, _set, _rich) and (_set, _counts): which sets meet where, and in how many sets each of their hashes is.
 
     A cell of up to HOT sets is joined as it is. A larger one comes from a passage
     that many documents share, or from a large group of copies. Documents with
@@ -207,9 +214,10 @@ def cells(sets: DataFrame) -> DataFrame:
     posts = cut(posts.join(sizes, "_cell"))
     hot = posts.where(F.col("_c") > HOT)
     plain = posts.where(F.col("_c") <= HOT).select("_cell", F.lit(-1).alias("_class"), F.lit(0).alias("_i"), F.lit(0).alias("_j"), F.lit(False).alias("_guest"), "_set")
-    known = hot.groupBy("_set").agg(F.collect_set("_cell").alias("_hot"))
-    rich = (F.size("_sketch") == SKETCH) & (F.size("_hot") <= SKETCH // 4)
-    known = cut(known.join(sets.select("_set", "_n", "_sketch"), "_set").select("_set", "_hot", F.floor(F.log2("_n")).cast("int").alias("_class"), rich.alias("_rich")))
+    counts = posts.groupBy("_set").agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_c"))).alias("_counts"))
+    known = hot.groupBy("_set").agg(F.count("*").alias("_hot"))
+    rich = (F.size("_sketch") == SKETCH) & (F.col("_hot") <= SKETCH // 4)
+    known = cut(known.join(sets.select("_set", "_n", "_sketch"), "_set").select("_set", F.floor(F.log2("_n")).cast("int").alias("_class"), rich.alias("_rich")))
     members = hot.select("_cell", "_set").join(known.select("_set", "_class", "_rich"), "_set")
     own = members.where("not _rich")
     blocks = own.groupBy("_cell", "_class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
@@ -227,16 +235,21 @@ def cells(sets: DataFrame) -> DataFrame:
     hosts = hosts.withColumn("_i", F.pmod(F.xxhash64("_set"), F.col("_blocks")).cast("int")).withColumn("_j", F.explode(F.sequence(-F.col("_parties"), F.lit(-1))))
     hosts = hosts.select("_cell", "_class", "_i", "_j", F.lit(False).alias("_guest"), "_set")
     met = plain.unionByName(mine).unionByName(hosts).unionByName(guests)
-    return met.join(known.select("_set", "_hot", "_rich"), "_set", "left")
+    return met.join(known.select("_set", "_rich"), "_set", "left"), counts
 
 
 _MEETING = ["_cell", "_class", "_i", "_j"]
 
 
 def cell_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(_cell, _class, _i, _j, _a, _b): pairs of sets that pass the bound, each once, where the least hash that brings both together says."""
-    full = cells(sets).join(sets.select("_set", "_n", "_sketch", "_point", "_over"), "_set")
-    full = full.select(*_MEETING, "_guest", "_set", "_n", "_over", "_sketch", "_point", F.coalesce("_rich", F.lit(False)).alias("_rich"), "_hot")
+    """(_cell, _class, _i, _j, _a, _b): pairs of sets that pass the bound, each once, in the most frequent cell that brings both together.
+
+    So the pairs of a group of near copies mostly meet in one cell, and its sets needn't go to many for verification.
+    """
+    met, counts = cells(sets)
+    count = F.transform("_sketch", lambda h: F.coalesce(F.try_element_at("_counts", h), F.lit(1)).cast("int"))
+    facts = sets.select("_set", "_n", "_sketch", "_point", "_over").join(counts, "_set").withColumn("_count", count).drop("_counts")
+    full = met.join(facts, "_set").select(*_MEETING, "_guest", "_set", "_n", "_over", "_sketch", "_point", F.coalesce("_rich", F.lit(False)).alias("_rich"), "_count")
     full = full.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
 
     def run(batches):
@@ -254,10 +267,9 @@ def cell_pairs(sets: DataFrame, threshold: float) -> DataFrame:
             values = np.asarray(lists.values).view(np.uint64)
             at = off[:-1, None] + np.arange(SKETCH)
             sketch = np.where(at < off[1:, None], values[np.minimum(at, len(values) - 1)], _NONE)
-            cool = sketch.copy()  # without hashes of hot cells
-            for r, h in enumerate(t.column("_hot").to_pylist()):
-                if h:
-                    cool[r, np.isin(sketch[r], np.array(h, dtype=np.int64).view(np.uint64))] = _NONE
+            many = np.asarray(t.column("_count").chunk(0).values)
+            key = meeting_keys(sketch, np.where(at < off[1:, None], many[np.minimum(at, len(many) - 1)], 0))
+            cool = np.where(key >> np.uint64(40) < np.uint64((1 << 24) - 2 - HOT), _NONE, key)  # without hashes of hot cells
             a_, b_, w_ = [], [], []
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if hi - lo < 2:
@@ -270,11 +282,11 @@ def cell_pairs(sets: DataFrame, threshold: float) -> DataFrame:
                 for a, b in found:
                     if not len(a):
                         continue
-                    least = first_common(sketch, a, b)
+                    least = first_common(sketch, key, a, b)
                     both = rich[a] & rich[b]
                     if both.any():
-                        least[both] = first_common(cool, a[both], b[both])
-                    ok = least == cell[lo]
+                        least[both] = first_common(sketch, cool, a[both], b[both])
+                    ok = least == key[lo, np.argmax(sketch[lo] == cell[lo])]
                     a_.append(a[ok])
                     b_.append(b[ok])
                     w_.append(np.full(int(ok.sum()), lo))

@@ -190,6 +190,56 @@ def test_license_notices(spark):
     assert here(license_scan.license_scan(docs)) == by_sql(docs, license_sql(table="fixture"))
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+LINUX = "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        (MIT, {"MIT": 2}),  # the heading and the text
+        (MIT.split("\n", 4)[4], {"MIT": 1}),
+        (MIT.split("\n", 4)[4].replace("software and", "software and " + "many " * 5000), {"MIT": 1}),
+        (MIT.split("\n\nTHE")[0].split("\n", 4)[4], {}),
+        ("The MIT License (MIT)\r\n\r\nCopyright (c) 2020", {"MIT": 1}),
+        ("Unlike the MIT License, this one is long.", {}),
+        (GPL, {"GPL-3.0": 1}),
+        (GPL.replace("version 3", "version 2"), {"GPL-2.0": 1}),
+        (LINUX, {"GPL-2.0": 1}),
+        ("   GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", {"GPL-3.0": 1}),
+        ("// SPDX-License-Identifier: MIT\nint x;", {"MIT": 1}),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0+ WITH Classpath-exception-2.0", {"MIT": 1, "Apache-2.0": 1, "GPL-2.0": 1}),
+        ("/* SPDX-License-Identifier: LGPL-2.1-or-later */ MIT", {"LGPL": 1}),
+        ("SPDX-License-Identifier: MIT-CMU", {}),
+    ],
+)
+def test_unabridged_licence_notices(text, names):
+    found = license_scan.Index(license_scan.NOTICES, {}, 1).scan(text.lower())
+    assert Counter(name for name, _, _ in found) == names
+
+
+def test_unabridged_notice_through_spark(spark):
+    docs = spark.createDataFrame([(0, "x y " + MIT.split("\n", 4)[4]), (1, "submit permits"), (2, "SPDX-License-Identifier: MIT")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in license_scan.license_scan(docs).collect()) == [(0, "MIT", 1, 2), (2, "MIT", 1, 0)]
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(8)
     rows = [(i, "w " * int(rng.integers(0, 30)), str(rng.choice(["en", "de", "xx"])), f"src{rng.integers(25)}", 1) for i in range(400)]

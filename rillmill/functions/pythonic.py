@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -81,7 +83,11 @@ def approximate(text: str, pattern: str, most: int) -> list[tuple[int, int, int]
     One column of the edit matrix for each character of the text, with the start of
     the alignment carried along; of a run of neighbouring ends the first of least distance is taken.
     """
-    text, pattern = folded(text), folded(pattern)
+    return approximate_folded(folded(text), folded(pattern), most)
+
+
+def approximate_folded(text: str, pattern: str, most: int) -> list[tuple[int, int, int]]:
+    """``approximate`` for what is folded already."""
     m = len(pattern)
     if not m:
         return []
@@ -118,6 +124,175 @@ def approximate_hits(text: Column, pattern: Column, most: Column) -> Column:
     return scan(text, pattern, most)
 
 
+class Quotes:
+    """Whole quotes sought in texts at once, with the hits of ``approximate`` for each.
+
+    Cut into pieces of ``q`` characters, a quote with at most k edits keeps all but k of its pieces, and these lie on
+    diagonals (place in the text less place in the quote) at most k apart. Texts are read once for the pieces of all
+    quotes; where a band of diagonals holds enough of them, and these chain up, and there only, edits are counted.
+    """
+
+    SLOTS = 1 << 18
+
+    def __init__(self, quotes: list[tuple[object, str, int]]):
+        self.quotes = [(i, folded(p), k) for i, p, k in quotes]
+
+    @cached_property
+    def tables(self):
+        """For each q, the quotes cut so, with their budgets and least numbers of pieces, and slot -> (quote, place) as first, count, quote, place."""
+        out, by_q = [], {}
+        for n, (_, p, k) in enumerate(self.quotes):
+            if p:
+                by_q.setdefault(min(4, len(p) // (k + 1)), []).append(n)
+        for q, ns in sorted(by_q.items()):
+            width = np.array([self.quotes[n][2] + 1 for n in ns])
+            least = np.array([len(self.quotes[n][1]) // q - self.quotes[n][2] for n in ns]) if q else None
+            at = [(h, i, j * q) for i, n in enumerate(ns) if q for j, h in enumerate(self.slots(self.quotes[n][1], q)[::q][: len(self.quotes[n][1]) // q].tolist())]
+            at = np.array(sorted(at), dtype=np.int64).reshape(-1, 3)
+            count = np.bincount(at[:, 0], minlength=self.SLOTS)
+            out.append((q, ns, width, least, np.cumsum(count) - count, count, at[:, 1], at[:, 2]))
+        return out
+
+    @cached_property
+    def masks(self) -> list[dict[str, int]]:
+        out = []
+        for _, p, _ in self.quotes:
+            bits: dict[str, int] = {}
+            for i, c in enumerate(p):
+                bits[c] = bits.get(c, 0) | 1 << i
+            out.append(bits)
+        return out
+
+    def slots(self, text: str, q: int) -> np.ndarray:
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        n = len(c) - q + 1
+        h = np.zeros(max(n, 0), dtype=np.uint64)
+        for i in range(q if n > 0 else 0):
+            h = h * np.uint64(1000003) + c[i : i + n]
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+
+    def ends(self, n: int, text: str):
+        """(end, distance) of each place where the quote may end within its budget, by Myers' bit vectors."""
+        _, p, k = self.quotes[n]
+        bits, m = self.masks[n], len(p)
+        full, top = (1 << m) - 1, 1 << m - 1
+        vp, vn, score = full, 0, m
+        for j, c in enumerate(text, 1):
+            eq = bits.get(c, 0)
+            xv = eq | vn
+            xh = ((eq & vp) + vp ^ vp) | eq
+            hp = vn | full & ~(xh | vp)
+            hn = vp & xh
+            if hp & top:
+                score += 1
+            elif hn & top:
+                score -= 1
+            hp <<= 1
+            vp = (hn << 1 | ~(xv | hp)) & full
+            vn = hp & xv & full
+            if score <= k:
+                yield j, score
+
+    def candidates(self, text: str):
+        """Quotes that may occur in the folded text."""
+        for q, ns, width, least, first, count, quote, place in self.tables:
+            if not q:
+                yield from ns
+                continue
+            slot = self.slots(text, q)
+            c = count[slot]
+            total = int(c.sum())
+            if not total:
+                continue
+            here = np.repeat(first[slot] - np.cumsum(c) + c, c) + np.arange(total)
+            who, part = quote[here], place[here]
+            diagonal = np.repeat(np.arange(len(slot)), c) - part
+            longest = max(len(self.quotes[n][1]) for n in ns)
+            step = np.maximum(width // 6, 1)
+            reach = (width - 1) // step + 2  # so many steps hold any k + 1 diagonals
+            bands = (len(text) + longest) // step + 1 + reach
+            base = np.cumsum(bands) - bands
+            key = base[who] + (diagonal + longest) // step[who]
+            upto = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=int(bands.sum())))])
+            at = np.arange(len(upto) - 1)
+            good = np.flatnonzero(upto[np.minimum(at + np.repeat(reach, bands), len(upto) - 1)] - upto[:-1] >= np.repeat(least, bands))
+            if not len(good):
+                continue
+            i = np.searchsorted(base, good, "right") - 1
+            edge = np.zeros(len(upto) + int(reach.max()), dtype=np.int64)
+            np.add.at(edge, good, 1)
+            np.add.at(edge, good + reach[i], -1)
+            held = np.cumsum(edge) > 0
+            group = np.cumsum(held & ~np.concatenate([[False], held[:-1]]))
+            sel = np.flatnonzero(held[key])
+            g, w = group[key[sel]], who[sel]
+            order = np.lexsort((diagonal[sel], part[sel], g, w))
+            sel, g, w = sel[order], g[order], w[order]
+            cuts = np.flatnonzero((g[1:] != g[:-1]) | (w[1:] != w[:-1])) + 1
+            done = -1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sel)]):
+                k_, n = int(w[lo]), ns[w[lo]]
+                if n == done or hi - lo < least[k_]:
+                    continue
+                d = diagonal[sel[lo:hi]].tolist()
+                k, m = self.quotes[n][2], len(self.quotes[n][1])
+                if self.chained((part[sel[lo:hi]] // q).tolist(), d, m // q, k) and next(self.ends(n, text[max(min(d) - k, 0) : max(d) + m + k + 1]), None):
+                    done = n
+                    yield n
+
+    @staticmethod
+    def chained(part: list[int], diagonal: list[int], parts: int, k: int) -> bool:
+        """Whether some of these pieces, in order, leave room for k edits: between two kept pieces each piece lost and each diagonal passed costs one."""
+        if len(part) > 80:
+            return True
+        if parts - len(set(part)) > k:
+            return False
+        kept: list[tuple[int, int, int]] = []
+        for i, d in zip(part, diagonal):
+            cost = i
+            for x, j, e in kept:
+                if j < i and x < cost:
+                    away = d - e if d > e else e - d
+                    x += away if away >= i - j else i - j - 1
+                    if x < cost:
+                        cost = x
+            if cost + parts - 1 - i <= k:
+                return True
+            if cost <= k:
+                kept.append((cost, i, d))
+        return False
+
+    def hits(self, text: str) -> list[tuple[object, int, int, int]]:
+        """(id, start, end, distance) of all quotes: the rows of ``approximate`` over the whole text."""
+        text, out = folded(text), []
+        for n in self.candidates(text):
+            id_, p, k = self.quotes[n]
+            best, last = [], -1
+            for end, d in self.ends(n, text):
+                if end != last + 1 or not best:
+                    best.append((end, d))
+                elif d < best[-1][1]:
+                    best[-1] = (end, d)
+                last = end
+            for end, _ in best:
+                low = max(end - 2 * (len(p) + k) - 4, 0)  # all alignments within the budget, and those they are compared with, begin after it
+                start, _, d = approximate_folded(text[low:end], p, k)[-1]
+                out.append((id_, start + low, end, d))
+        return out
+
+
+def quote_hits(text: Column, quotes: list[tuple[int, str, int]]) -> Column:
+    """array<struct<item_id, start, end, distance>>: every hit of quotes, given as (item_id, quote, budget), in the text; empty for a null text."""
+    index = Quotes(quotes)
+
+    @F.pandas_udf("array<struct<item_id: bigint, start: int, end: int, distance: int>>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[] if t is None else [{"item_id": i, "start": s, "end": e, "distance": d} for i, s, e, d in index.hits(t)] for t in texts])
+
+    return scan(text)
+
+
 def interleave(x: int, y: int) -> int:
     """Morton code: the bits of x at even, those of y at odd places."""
     out = 0

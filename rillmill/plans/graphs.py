@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillmill.functions.curves import polyline
-from rillmill.functions.pythonic import approximate_hits, z_ranges
+from rillmill.functions.pythonic import quote_hits, z_ranges
 from rillmill.operators import recursion as R
 from rillmill.operators.aggregates import nearest_rank
 from rillmill.sources.tables import table
@@ -124,14 +124,11 @@ def payload_dedup(spark, sf_dir):
 
 
 def fuzzy_quotes(spark, sf_dir):
-    """Benchmark openings that occur in documents, give or take a fifth of their length, among documents that share one of their words."""
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote"))
-    limit = F.greatest(F.lit(4), F.length("quote") / 5).cast("int")
-    words = bench.select("item_id", "quote", F.explode(F.array_distinct(F.filter(F.split(F.lower("quote"), r"\s+"), lambda w: F.length(w) > 6))).alias("w"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w"))
-    pairs = docs.join(words, "w").select("item_id", "quote", "doc_id").distinct()
-    hits = pairs.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("hit", F.explode(approximate_hits(F.col("text"), F.col("quote"), limit)))
-    return hits.select("item_id", "doc_id", "hit.start", "hit.end", "hit.distance")
+    """Whole benchmark texts that occur in documents, give or take a fifth of their length; the benchmark is one list in each task."""
+    limit = F.greatest(F.lit(4), F.length("text") / 5).cast("int")
+    bench = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", "text", limit).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(quote_hits(F.col("text"), [tuple(r) for r in bench.collect()])).alias("hit"))
+    return docs.select("hit.item_id", "doc_id", "hit.start", "hit.end", "hit.distance")
 
 
 def _grid(spark, sf_dir):

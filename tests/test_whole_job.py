@@ -4,6 +4,7 @@ import random
 
 from rillmill.functions.pythonic import Quotes, approximate
 from rillmill.plans import registry
+from tests.compare import DATA, connect
 
 
 def edited(rng, text, n):
@@ -39,3 +40,18 @@ def test_fuzzy_quotes_seeks_whole_texts(spark, tmp_path):
     limit = lambda q: max(4, len(q) // 5)
     assert rows == sorted({(i, d, *h) for i, q in bench if q for d, t in docs if t for h in approximate(t, q, limit(q))})
     assert [r[:2] for r in rows] == [(1, 1), (3, 4)]
+
+
+def test_lineage_of_every_order(spark):
+    ids = {r[0] for r in connect().execute("select o_orderkey from orders").fetchall()}
+    up = {i: {s for s in (i // 2, i // 3) if 0 < s < i} if i in ids else set() for i in range(max(ids) + 1)}
+    want = set()
+    for i in ids:
+        seen, front = {i}, {i}
+        while front:
+            front = {s for x in front for s in up[x]} - seen
+            seen |= front
+        want.add((i, len(seen), min(seen), sum(seen)))
+    got = {tuple(r) for r in registry.QUERIES["lineage_walk"](spark, DATA).select("target", "n", "first", "ids").collect()}
+    assert got == want
+    assert set(connect().execute(registry.ORACLE_SQL["lineage_walk"]).fetchall()) <= got  # the SQL has every hundredth order

@@ -136,7 +136,7 @@ def class_gap(spark, sf_dir):
 def entity_rollup(spark, sf_dir):
     """Every part brand with its returned items in order of date; brands without any have none."""
     brands = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"), "l_shipdate", "l_orderkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"), "l_shipdate", "l_orderkey", "l_linenumber")
     records = li.join(brands, "p_partkey").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("l_shipdate", "l_orderkey", "l_linenumber"))).alias("r"))
     out = brands.select("p_brand").distinct().join(records, "p_brand", "left")
     return out.select("p_brand", F.coalesce(F.array_join(F.col("r.l_orderkey").cast("array<string>"), ","), F.lit("")).alias("records"))

@@ -79,7 +79,7 @@ def tempo_24h(spark, sf_dir):
 def month_spine(spark, sf_dir):
     """Orders by priority and month, zeros from each priority's first to last month."""
     m = (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).alias("month")
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 400000").groupBy("o_orderpriority", m).agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", m).agg(F.count("*").alias("n"))
     return S.zero_filled(o, ["o_orderpriority"], "month", "n")
 
 

@@ -55,3 +55,20 @@ def test_lineage_of_every_order(spark):
     got = {tuple(r) for r in registry.QUERIES["lineage_walk"](spark, DATA).select("target", "n", "first", "ids").collect()}
     assert got == want
     assert set(connect().execute(registry.ORACLE_SQL["lineage_walk"]).fetchall()) <= got  # the SQL has every hundredth order
+
+
+def test_rollup_has_every_returned_item(spark):
+    rows = connect().execute("select p_brand, l_shipdate, l_orderkey, l_linenumber from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R'").fetchall()
+    want = {b: "" for (b,) in connect().execute("select distinct p_brand from part").fetchall()}
+    for brand in want:
+        want[brand] = ",".join(str(r[2]) for r in sorted(r for r in rows if r[0] == brand))
+    assert {r["p_brand"]: r["records"] for r in registry.QUERIES["entity_rollup"](spark, DATA).collect()} == want
+
+
+def test_month_spine_counts_cheap_orders_and_fills_gaps(spark, tmp_path):
+    rows = [("1-URGENT", "2020-01-05", 10.0), ("1-URGENT", "2020-04-05", 500000.0), ("1-URGENT", "2020-04-06", 20.0), ("5-LOW", "2020-12-31", 1.0), ("5-LOW", "2021-01-01", 1.0)]
+    df = spark.createDataFrame(rows, "o_orderpriority string, d string, o_totalprice double")
+    df.selectExpr("o_orderpriority", "cast(d as date) as o_orderdate", "o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r["o_orderpriority"], r["month"], r["n"]) for r in registry.QUERIES["month_spine"](spark, str(tmp_path)).collect())
+    y = 2020 * 12
+    assert got == [("1-URGENT", y, 1), ("1-URGENT", y + 1, 0), ("1-URGENT", y + 2, 0), ("1-URGENT", y + 3, 2), ("5-LOW", y + 11, 1), ("5-LOW", y + 12, 1)]

@@ -72,3 +72,23 @@ def test_month_spine_counts_cheap_orders_and_fills_gaps(spark, tmp_path):
     got = sorted((r["o_orderpriority"], r["month"], r["n"]) for r in registry.QUERIES["month_spine"](spark, str(tmp_path)).collect())
     y = 2020 * 12
     assert got == [("1-URGENT", y, 1), ("1-URGENT", y + 1, 0), ("1-URGENT", y + 2, 0), ("1-URGENT", y + 3, 2), ("5-LOW", y + 11, 1), ("5-LOW", y + 12, 1)]
+
+
+def test_keyed_joins_have_whole_lists_missing_and_null_keys(spark, tmp_path):
+    tables = {
+        "customer": ("c_custkey bigint, c_name string", [(1, "a"), (3, "c"), (None, "n"), (14, "x")]),
+        "orders": ("o_custkey bigint, o_orderkey bigint, o_orderpriority string", [(3, k, f"p{k}") for k in (5, 1, 4, 2, 3)] + [(5, 9, "q"), (None, 8, "r")]),
+        "events": ("user_id bigint, event_id bigint, event_type string", [(3, k, f"e{k}") for k in (7, 3, 5, 1)] + [(7, 2, "f"), (None, 4, "g")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda q: {r["key"]: (r["names"], r["n_orders"], r["orders"], r["n_events"], r["events"]) for r in registry.QUERIES[q](spark, str(tmp_path)).collect()}
+    both = {3: ("c", 5, "p1,p2,p3,p4,p5", 4, "e1,e3,e5,e7"), None: ("n", 1, "r", 1, "g")}
+    assert run("join_by_key_all") == both
+    assert run("join_by_key_full") == both | {1: ("a", 0, "", 0, ""), 5: ("", 1, "q", 0, ""), 7: ("", 0, "", 1, "f"), 14: ("x", 0, "", 0, "")}
+
+
+def test_upsert_puts_every_customer(spark):
+    con = connect()
+    want = dict(con.execute("select s_suppkey, s_name from supplier").fetchall()) | dict(con.execute("select c_custkey, c_name from customer").fetchall())
+    assert {r["key"]: r["value"] for r in registry.QUERIES["kv_upsert"](spark, DATA).collect()} == want

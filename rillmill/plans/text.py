@@ -30,10 +30,10 @@ def vocabulary_richness(spark, sf_dir):
 
 
 def _titles(spark, sf_dir):
-    """The title of each page against the first words of its first paragraph."""
+    """The title of each page against the first sentence of its first paragraph, or all of it if no sentence ends."""
     p = table(spark, sf_dir, "pages")
-    body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1), "<[^>]*>", " "), r"\s+", " "))
-    return p.select("page_id", X.html_title(F.col("html")).alias("title"), F.substring(body, 1, 60).alias("source")).where("title is not null and title <> '' and source <> ''")
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", r"(?is)<p(?:\s[^>]*)?>(.*?)</p>", 1), "<[^>]*>", " "), r"\s+", " "))
+    return p.select("page_id", X.html_title(F.col("html")).alias("title"), F.regexp_extract(body, r"^.*?[.!?](?=\s|$)|^.*", 0).alias("source")).where("title is not null and title <> '' and source <> ''")
 
 
 def page_titles(spark, sf_dir):

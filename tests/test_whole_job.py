@@ -3,7 +3,7 @@
 import random
 
 from rillmill.functions.pythonic import Quotes, approximate
-from rillmill.plans import registry
+from rillmill.plans import registry, text
 from tests.compare import DATA, connect
 
 
@@ -92,3 +92,11 @@ def test_upsert_puts_every_customer(spark):
     con = connect()
     want = dict(con.execute("select s_suppkey, s_name from supplier").fetchall()) | dict(con.execute("select c_custkey, c_name from customer").fetchall())
     assert {r["key"]: r["value"] for r in registry.QUERIES["kv_upsert"](spark, DATA).collect()} == want
+
+
+def test_titles_meet_whole_first_sentences(spark, tmp_path):
+    long = "This sentence has rather more than sixty characters, version 1.5 in it, and ends here"
+    page = lambda p: f"<html><head><title>T</title></head><body>{p}</body></html>"
+    rows = [(1, page(f"<p>{long}! Another.</p>")), (2, page(f'<pre>no</pre><P class="a"\nid=b>{long}</P>')), (3, page("<pre>no</pre>"))]
+    spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(tuple(r) for r in text._titles(spark, str(tmp_path)).collect()) == [(1, "T", long + "!"), (2, "T", long)]

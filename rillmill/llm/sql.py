@@ -62,20 +62,29 @@ from {table} o join kept k using (doc_id) left join hit h using (doc_id)
 """
 
 
-def ngram_join_sql(threshold: float, table: str = "documents") -> str:
-    """Brute force over all pairs that share a word trigram."""
+def similar_pairs_sql(threshold: float, table: str = "documents") -> str:
+    """Brute force over all pairs that share a word trigram: sets s (k, ids) and their similar pairs p (u, v, j)."""
     return f"""
-with w as (select doc_id, [x for x in string_split_regex(lower(text), '\\s+') if x <> ''] as w from {table} where doc_id is not null and text is not null),
+     w as (select doc_id, [x for x in string_split_regex(lower(text), '\\s+') if x <> ''] as w from {table} where doc_id is not null and text is not null),
      g as (select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')]
                   else [concat_ws(' ', w[i], w[i + 1], w[i + 2]) for i in range(1, len(w) - 1)] end)) as g
            from w where len(w) > 0),
-     s as (select g, list_sort(list_distinct(list(doc_id))) as ids, row_number() over () as k from g group by g),
+     s as materialized (select g, list_sort(list_distinct(list(doc_id))) as ids, row_number() over () as k from g group by g),
      e as (select k, len(g) as n, unnest(g) as t from s),
-     p as (select a.k as u, b.k as v, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as j from e a join e b on a.t = b.t and a.k < b.k group by 1, 2)
-select list_sort(list_distinct(list_concat(x.ids, y.ids))) as doc_ids, round(j, 6) as jaccard
-from p join s x on p.u = x.k join s y on p.v = y.k where j >= {threshold}
-union all
-select ids, 1.0 from s where len(ids) > 1
+     p as (select * from (select a.k as u, b.k as v, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as j from e a join e b on a.t = b.t and a.k < b.k group by 1, 2) where j >= {threshold})
+"""
+
+
+def ngram_join_sql(threshold: float, table: str = "documents") -> str:
+    """Classes are found by walking along the pairs."""
+    return f"""
+with recursive {similar_pairs_sql(threshold, table)},
+     edge as (select u, v from p union all select v, u from p),
+     reach as (select k as x, k as y from s union select r.x, e.v from reach r join edge e on e.u = r.y),
+     class as (select x as k, min(s.ids[1]) as class_id from reach join s on s.k = reach.y group by 1),
+     other as (select e.u as k, sum(len(s.ids)) as n from edge e join s on s.k = e.v group by 1),
+     known as (select s.k, s.ids, class_id, len(s.ids) - 1 + coalesce(n, 0) as links from s join class using (k) left join other using (k))
+select unnest(ids) as doc_id, class_id, cast(links as bigint) as links from known where links > 0
 """
 
 

@@ -10,7 +10,7 @@ import corpus_pipeline
 from rillmill.llm import fingerprints, html_extract, license_scan, line_dedup, ngram_join, packing, quality_bayes, quality_rules, source_mixing, toxicity
 from rillmill.llm.linear import train
 from rillmill.llm.shared import read, sheltered
-from rillmill.llm.sql import license_sql, line_dedup_sql, mix_sql, ngram_join_sql
+from rillmill.llm.sql import license_sql, line_dedup_sql, mix_sql, ngram_join_sql, similar_pairs_sql
 from tests.compare import connect, rows_of
 
 SMALL, MIDDLE, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -146,10 +146,11 @@ def test_repeated_line_runs(spark):
     assert here(line_dedup.dedup_lines(docs)) == by_sql(docs, line_dedup_sql(line_dedup.MIN_CHARS, "fixture"))
 
 
-def test_similar_pairs_with_a_crowded_passage(spark, monkeypatch):
-    """More sets share a cell than fit one meeting: brute force over all pairs."""
-    monkeypatch.setattr(ngram_join, "HOT", 8)
-    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_similar_pairs_with_a_crowded_passage(spark, monkeypatch, threshold):
+    """Many blocks, buckets and meetings of a region, and ties at the threshold: brute force over all pairs."""
+    for name, value in (("BLOCK", 5), ("OFTEN", 2), ("BLOCK_DOCS", 7), ("BLOCK_GRAMS", 900), ("BUCKET_CHARS", 2000)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = np.random.default_rng(2)
     word = lambda: f"w{rng.integers(4000)}"
     passage = " ".join(word() for _ in range(60))
@@ -160,27 +161,27 @@ def test_similar_pairs_with_a_crowded_passage(spark, monkeypatch):
         for k in rng.choice(120, 4, replace=False):
             w[k] = word()
         texts.append(" ".join(w))
-    texts += [texts[0], passage, passage + " end", "two words", "Two  words", "one"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert here(ngram_join.similar_documents(docs)) == by_sql(docs, ngram_join_sql(ngram_join.THRESHOLD, "fixture"))
+    for m in (1, 2, 4, 8):  # of n + 2 words shared n n-grams, m of them alone
+        texts += [" ".join(f"t{m}x{i}" for i in range(m + 2)), " ".join(f"t{m}x{i}" for i in range(2 * m + 2))]
+    texts += [texts[0], passage, passage + " end", "two words", "Two  words", "one", "", " ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).sortWithinPartitions("doc_id")
+    assert here(ngram_join.similar_documents(docs, threshold=threshold)) == by_sql(docs, ngram_join_sql(threshold, "fixture"))
+    pairs = f"with recursive {similar_pairs_sql(threshold, 'fixture')} select least(x.ids[1], y.ids[1]) as doc_a, greatest(x.ids[1], y.ids[1]) as doc_b, round(j, 6) as jaccard from p join s x on p.u = x.k join s y on p.v = y.k"
+    assert here(ngram_join.similar_pairs(docs, threshold=threshold)) == by_sql(docs, pairs)
 
 
 def test_one_of_each_group_stays(spark):
     docs = read(spark, MIDDLE, "documents")
     kept = {r["doc_id"] for r in ngram_join.keep_one_of_each_group(docs).collect()}
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for r in connect(MIDDLE).execute(ngram_join_sql(ngram_join.THRESHOLD)).fetchall():
-        for x in r[0][1:]:
-            a, b = sorted((find(r[0][0]), find(x)))
-            root[b] = a
-    every = {r["doc_id"] for r in docs.collect()}
-    assert kept == {x for x in every if find(x) == x}
+    late = {i for i, c, _ in connect(MIDDLE).execute(ngram_join_sql(ngram_join.THRESHOLD)).fetchall() if i != c}
+    assert kept == {r["doc_id"] for r in docs.collect()} - late
+
+
+def test_an_id_with_two_texts(spark):
+    text = "a text of some words that two documents share but for its end"
+    docs = spark.createDataFrame([(1, text), (2, text + " here"), (2, "another one, which is like nothing else in the table"), (3, "x y z"), (3, "x y z")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in ngram_join.similar_documents(docs).collect()) == [(1, 1, 1), (2, 1, 1)]
+    assert sorted(tuple(r) for r in ngram_join.keep_one_of_each_group(docs).collect()) == [(1, text), (2, "another one, which is like nothing else in the table"), (3, "x y z"), (3, "x y z")]
 
 
 def test_license_notices(spark):

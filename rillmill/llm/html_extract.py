@@ -50,7 +50,7 @@ _BLOCK = frozenset(
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<raw>script|style|title|noscript|template|textarea|svg|object)\b(?:[^>]*/>|.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?:(?:[^>\"']+|\"[^\"]*\"|'[^']*')*>|[^>]*(?:>|\Z))|<[!?/][^>]*(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 
@@ -157,8 +157,10 @@ def extract_html(pages: DataFrame) -> DataFrame:
     """(page_id, text, n_blocks, n_content) for every row of pages; text has one line for each content block.
 
     A null or empty page, and one without text, has an empty text and no
-    blocks. Markup that isn't closed ends with the page. Null ids are
-    carried along, rows that repeat are extracted each, an empty table gives an empty result.
+    blocks. Markup that isn't closed ends with the page; a tag with a stray quote ends at its first ``>``. Pages of any
+    length are read whole, in time that grows with their length. Null ids are
+    carried along, rows that repeat are extracted each, an empty table gives an empty result. Of
+    equal splits the tree takes the first feature and the lowest cut, so ties have one result.
     Columns beside page_id and html are not read, whatever their names.
     """
     tree = Tree(LABELLED)

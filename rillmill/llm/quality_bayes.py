@@ -103,16 +103,18 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, sample_rows: int = SA
     """doc_id, or with keep_all all columns of docs (extra ones by other names, see ``sheltered``), and ``posterior`` for every row of docs.
 
     Rates count every row; a blank or null text counts as evidence 0 and has
-    posterior 0. Null sources and languages are a site of their own, null ids
-    are scored like others, repeated rows give repeated rows, an empty table
-    an empty result. Labels of one class or none leave the base rate as the
+    posterior 0. Whole texts are scored, however long. Null sources and languages are a site of their own, null ids
+    are scored like others, repeated rows give repeated rows and equal texts of a site equal posteriors, an empty table
+    an empty result. Labels of one class, none, or fewer than ``linear.LEAST_ROWS`` leave the base rate as the
     only evidence. Columns that aren't used are not read, whatever their names.
+    Every text is scored once: the scored rows are written to the shared folder and read again with the rates.
     """
     model = train(docs, labels, "quality", sample_rows)
     docs = sheltered(docs)
     keep = docs.columns if keep_all else ["doc_id"]
-    sites = cut(rates(evidence(docs, model, [])))
-    joined = evidence(docs, model, keep).join(sites, ["_host", "_path"])
+    scored = cut(evidence(docs, model, keep))
+    sites = cut(rates(scored.select("_host", "_path", "_p")))
+    joined = scored.join(sites, ["_host", "_path"])
     return joined.select(*keep, posterior(model.base).alias("posterior"))
 
 

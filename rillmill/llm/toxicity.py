@@ -23,6 +23,7 @@ THRESHOLD = 0.5
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 STEM = 6
 FOLDS = 3
+LEAST_TOXIC, LEAST_ODDS = 4, 6.0
 INSULTS = """
 idiot idiots idiotic moron morons moronic imbecile imbeciles stupid dumb dumbass fool fools loser losers clown clowns
 trash garbage scum vermin filth filthy pathetic worthless disgusting repulsive vile pig pigs rat cockroach parasite
@@ -121,24 +122,34 @@ def dense(texts: list, words: np.ndarray, stems: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn_lexicon(texts: list, y: np.ndarray, least: int = 4, odds: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words, and of stems, whose share of toxic documents is at least ``odds`` times that of the others, in ``least`` toxic documents or more."""
-    seen: list[list[np.ndarray]] = [[], []]
+def vocabulary(texts: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For words and for stems: the sorted hashes, and each (place of the hash, document) in which one occurs."""
+    seen: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
     for lo, hi in chunks(texts):
         _, w, _ = _tokens(texts[lo:hi])
-        doc = w.doc() + lo
+        doc = w.doc()
         for k, h in enumerate((w.hash, w.prefix_hash(STEM))):
-            pair = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-            seen[k].append(pair)
+            known, row = np.unique(h, return_inverse=True)
+            pair = np.unique(row.astype(np.int64) * (hi - lo) + doc)
+            seen[k].append((known[pair // (hi - lo)], pair % (hi - lo) + lo))
     out = []
-    pos, neg = max(y.sum(), 1), max(len(y) - y.sum(), 1)
     for parts in seen:
-        pairs = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.uint64)
-        known, row = np.unique(pairs[0], return_inverse=True)
-        toxic = np.bincount(row, y[pairs[1].astype(np.int64)], minlength=len(known)) if len(known) else np.zeros(0)
-        other = (np.bincount(row, minlength=len(known)) - toxic) if len(known) else np.zeros(0)
+        h = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
+        known, row = np.unique(h, return_inverse=True)
+        out.append((known, row, np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])))
+    return out
+
+
+def learn_lexicon(vocabularies: list, y: np.ndarray, rows: np.ndarray, least: int = LEAST_TOXIC, odds: float = LEAST_ODDS) -> list[np.ndarray]:
+    """Of words, and of stems, the hashes whose share of toxic documents is at least ``odds`` times that of the others, in ``least`` toxic documents or more; only documents in ``rows`` count."""
+    out = []
+    toxic_rows, other_rows = rows & (y > 0), rows & (y <= 0)
+    pos, neg = max(toxic_rows.sum(), 1), max(other_rows.sum(), 1)
+    for known, row, doc in vocabularies:
+        toxic = np.bincount(row[toxic_rows[doc]], minlength=len(known))
+        other = np.bincount(row[other_rows[doc]], minlength=len(known))
         out.append(known[(toxic >= least) & (toxic / pos > odds * (other + 0.5) / neg)])
-    return out[0], out[1]
+    return out
 
 
 class Trees:
@@ -209,12 +220,12 @@ class Model:
     def __init__(self, texts: list, y: np.ndarray):
         part = np.arange(len(y)) % FOLDS
         pick = lambda rows: [t for t, r in zip(texts, rows) if r]
-        x, z = np.zeros((len(y), len(FEATURES))), np.zeros(len(y))
+        x, z, known = np.zeros((len(y), len(FEATURES))), np.zeros(len(y)), vocabulary(texts)
         for k in range(FOLDS):
-            x[part == k] = dense(pick(part == k), *learn_lexicon(pick(part != k), y[part != k]))
+            x[part == k] = dense(pick(part == k), *learn_lexicon(known, y, part != k))
         for k in range(FOLDS):
             z[part == k] = Trees(x[part != k], y[part != k]).log_odds(x[part == k])
-        self.words, self.stems = learn_lexicon(texts, y)
+        self.words, self.stems = learn_lexicon(known, y, part >= 0)
         self.trees = Trees(x, y)
         self.steps = isotonic(z, y)
 
@@ -245,10 +256,11 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = SAMPLE_ROWS) -> bytes |
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, probability) for every row of docs.
 
-    Null, blank or wordless texts have probability 0. Rows with null ids are
-    scored like others, repeated rows give repeated rows, an empty table gives
-    an empty result; without labels every probability is 0. Columns beside
-    doc_id and text are not read, whatever their names.
+    Null, blank or wordless texts have probability 0. Whole texts are scored, however long. Rows with null ids are
+    scored like others, repeated rows give repeated rows and equal texts equal probabilities, an empty table gives
+    an empty result; without labels every probability is 0. A word joins the lexicon if at least ``LEAST_TOXIC`` toxic
+    documents of the sample hold it, so with few labels the lexicon is the list of insults. Of equal gains a tree takes
+    the first feature and the lowest cut. Columns beside doc_id and text are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
 

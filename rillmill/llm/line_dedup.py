@@ -56,6 +56,21 @@ def first_ranks(lines: DataFrame) -> DataFrame:
     return ranked.select("_a", "_b", (F.col("_in") + F.col("_before")).alias("_r"))
 
 
+def next_ranks(pairs: DataFrame, shift: int) -> DataFrame:
+    """(_r, _next, _rank) of the pairs of ranks that occur more than once: _rank is _r and the number of suffixes of rank _r with a smaller _next.
+
+    A rank of a line that is in most documents has very many successors; they are counted by ranges, of which there are
+    4096 at most, and ordered within one.
+    """
+    named = pairs.groupBy("_r", "_next").agg(F.count("*").alias("_c")).withColumn("_range", F.shiftright("_next", shift))
+    up_to = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = named.groupBy("_r", "_range").agg(F.sum("_c").alias("_s"))
+    sums = sums.select("_r", "_range", F.coalesce(F.sum("_s").over(up_to("_r").orderBy("_range")), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_c").over(up_to("_r", "_range").orderBy("_next")), F.lit(0))
+    named = named.withColumn("_in", inside).where("_c > 1").join(sums, ["_r", "_range"])
+    return named.select("_r", "_next", (F.col("_r") + F.col("_before") + F.col("_in")).alias("_rank"))
+
+
 def _windows(min_chars: int) -> Callable:
     """Arrow function: for each document's repeated lines in order, those within a window, each with the lengths of the windows that begin there."""
 
@@ -108,6 +123,7 @@ def repeated_windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     rows = cut(lists.mapInArrow(_windows(min_chars), "_doc bigint, _row bigint, _pos int, _r bigint, _lens array<int>"))
     release(lines)
     ranks = rows.select(*_PLACE, "_r")
+    shift = max(0, int(rows.agg(F.max("_r")).first()[0] or 0).bit_length() - 12)
     wanted = rows.select(*_PLACE, F.explode("_lens").alias("_len"))
     found, level, cuts = [], 0, []
     while True:
@@ -128,10 +144,7 @@ def repeated_windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         inside = longer.select("_doc", "_row", F.explode(F.sequence(F.col("_pos"), F.col("_pos") + F.col("_len") - 1)).alias("_pos")).distinct()
         by = Window.partitionBy("_doc", "_row").orderBy("_pos").rangeBetween(size, size)
         pairs = ranks.join(inside, _PLACE).withColumn("_next", F.max("_r").over(by)).where("_next is not null")
-        order = Window.partitionBy("_r").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
-        named = pairs.groupBy("_r", "_next").agg(F.count("*").alias("_c"))
-        named = named.withColumn("_rank", F.col("_r") + F.coalesce(F.sum("_c").over(order), F.lit(0))).where("_c > 1").drop("_c")
-        ranks = cut(pairs.join(named, ["_r", "_next"]).select(*_PLACE, F.col("_rank").alias("_r")))
+        ranks = cut(pairs.join(next_ranks(pairs, shift), ["_r", "_next"]).select(*_PLACE, F.col("_rank").alias("_r")))
         cuts.append(ranks)
         if len(cuts) > 1:
             release(cuts.pop(0))

@@ -24,6 +24,7 @@ BITS = 16
 _D = 1 << BITS
 FAMILIES = ("word", "pair", "char3", "char5")
 SIZE = len(FAMILIES) * _D
+LEAST_ROWS = 10
 
 
 def features(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -114,12 +115,12 @@ class Model:
 
 
 def fit(texts: list, y: np.ndarray, rounds: int = 100, rate: float = 0.3, decay: float = 1e-4) -> Model:
-    """Full-batch Adam on four rows of five; the fifth calibrates. With no rows or one class only, the model says the smoothed base rate."""
+    """Full-batch Adam on four rows of five; the fifth calibrates. With fewer than LEAST_ROWS rows or one class only, the model says the smoothed base rate, as there is nothing to calibrate with."""
     y = np.asarray(y, dtype=float)
     base = (y.sum() + 1) / (len(y) + 2)
     prior = float(np.log(base / (1 - base)))
     flat = Model(np.zeros(SIZE, np.float32), prior, 1.0, 0.0, base)
-    if len(y) < 10 or y.min() == y.max():
+    if len(y) < LEAST_ROWS or y.min() == y.max():
         return flat
     held = np.arange(len(y)) % 5 == 4
     if y[~held].min() == y[~held].max():

@@ -23,9 +23,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
     rule is ``prefer`` from prefer_at, ``keep`` from keep_at, else ``reject``;
     the probability is rounded to six places before it is compared. A null or blank text
-    has nothing to keep: probability 0, ``reject``. Rows with null ids are scored like others,
-    repeated rows give repeated rows, an empty table gives an empty result,
-    and without labels of both classes every other row gets the smoothed base rate.
+    has nothing to keep: probability 0, ``reject``. Whole texts are scored, however long. Rows with null ids are scored like others,
+    repeated rows give repeated rows and equal texts equal probabilities, a probability equal to a threshold passes it, an empty table gives an empty result,
+    and without labels of both classes, or with fewer than ``linear.LEAST_ROWS`` of them, every other row gets the smoothed base rate.
     Columns beside doc_id and text are not read, whatever their names.
     """
     model: Model = train(docs, labels, "quality", sample_rows)

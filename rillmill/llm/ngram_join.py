@@ -39,7 +39,7 @@ from rillmill.llm.textnum import Chars, Words, chunks, mix64
 NGRAM, THRESHOLD = 3, 0.5
 GROUPS, BLOCK = 256, 1000
 OFTEN = 8
-BUCKET_CHARS, BLOCK_GRAMS, BLOCK_DOCS = 1 << 24, 1 << 22, 1 << 15
+BUCKET_CHARS, BLOCK_GRAMS, BLOCK_DOCS = 1 << 23, 1 << 20, 1 << 15
 _BITS = np.uint64(48)
 _MASK = np.uint64((1 << 48) - 1)
 _16 = np.uint64(16)
@@ -200,7 +200,7 @@ def blocks(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(to[s : s + 64], pa.int64()), pa.array([block] * len(part_), pa.int64()), pa.array([x for _, x in part_], pa.binary())], ["_to", "_block", "_blob"])
 
         held, grams, count = [], 0, 0
-        for b in batches:
+        for b in (x.slice(s, 512) for x in batches for s in range(0, x.num_rows, 512)):
             ids, texts, hashes = np.asarray(b.column(0)), b.column(1).to_pylist(), np.asarray(b.column(2))
             for lo, bounds, h in gram_sets(texts, n):
                 size = np.diff(bounds)

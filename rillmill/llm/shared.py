@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and the loss of an executor costs nothing that was computed before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rillmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # rows may be wide, and a writer holds a whole row group
     out = spark.read.schema(df.schema).parquet(path)
     out._rillmill_path = path
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = "[a-zA-Z0-9]+(?:'[a-zA-Z]+)?"
@@ -65,37 +65,44 @@ def deviation(xs: Column) -> Column:
     return F.when(n < 2, F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), q / n - (s / n) * (s / n))))
 
 
-def style_features(text: Column) -> dict[str, Column]:
-    """Style of a text; rates are for 100 tokens, 0 where there are none. A null text is an empty one."""
-    text = F.coalesce(text, F.lit(""))
-    low, toks, raw = F.lower(text), tokens(text), found(text, TOKEN)
-    n = F.size(toks)
-    per_100 = lambda x: F.coalesce(F.try_divide(100.0 * x, n), F.lit(0.0))
-    sentences = F.transform(nonblank(F.split(text, SENTENCE_END)), lambda s: F.size(found(s, TOKEN)))
-    paragraphs = F.transform(nonblank(F.split(text, PARAGRAPH_END)), lambda s: F.size(found(s, TOKEN)))
-    lines = nonblank(F.split(text, "\n"))
-    among = lambda words: F.size(F.filter(toks, lambda t: t.isin(*words)))
-    lexicon = {f"{k}_rate": per_100(reduce(lambda a, p: a + occurrences(low, p), phrases, among(words))) for k, (words, phrases) in LEXICONS.items()}
-    name = lambda w: w.rlike("^[A-Z]") & (w != "I")
-    capitals = F.aggregate(raw, F.struct(F.lit("").alias("p"), F.lit(0).alias("k")), lambda a, w: F.struct(w.alias("p"), (a["k"] + F.when(name(w) & name(a["p"]), 1).otherwise(0)).alias("k")))["k"]
-    return {
+def style_features(df: DataFrame, text: str) -> DataFrame:
+    """df with its column ``text`` replaced by the style of that text; rates are for 100 tokens, 0 where there are none. A null text is an empty one.
+
+    What several figures need is a column of a select below, so it is computed once. Tokens are counted by patterns over their joined list,
+    which stays in generated code.
+    """
+    others = [c for c in df.columns if c != text]
+    one = df.select(*others, F.coalesce(text, F.lit("")).alias("_x"))
+    one = one.select(*others, "_x", F.lower("_x").alias("_low"))
+    one = one.select(*others, "_x", "_low", tokens(F.col("_x")).alias("_t"), F.array_join(found(F.col("_x"), TOKEN), " ").alias("_raw"))
+    one = one.select(*others, "_x", "_low", F.size("_t").alias("_n"), F.array_join("_t", " ").alias("_toks"), "_raw")
+    sizes = lambda end: F.transform(nonblank(F.split("_x", end)), lambda s: F.regexp_count(s, F.lit(TOKEN)))
+    one = one.select("*", sizes(SENTENCE_END).alias("_s"), sizes(PARAGRAPH_END).alias("_p"))
+    x, low, n, toks = F.col("_x"), F.col("_low"), F.col("_n"), F.col("_toks")
+    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
+    per_100 = lambda v: F.coalesce(F.try_divide(100.0 * v, n), F.lit(0.0))
+    among = lambda words: count(toks, f"(?<![^ ])(?:{'|'.join(words)})(?![^ ])")
+    name = "(?!I(?![^ ]))[A-Z]"
+    code = F.length(x) - F.length(F.regexp_replace(x, "`[^`]*`", ""))
+    columns = {
         "n_tokens": n,
-        "n_chars": F.length(text),
-        "n_sentences": F.size(sentences),
-        "n_paragraphs": F.size(paragraphs),
-        "sentence_mean": mean(sentences),
-        "sentence_sd": deviation(sentences),
-        "word_mean": mean(F.transform(toks, F.length)),
-        "paragraph_mean": mean(paragraphs),
-        **lexicon,
-        "link_rate": per_100(F.regexp_count(text, F.lit(r"https?://\S+"))),
-        "code_fraction": F.coalesce(F.try_divide(F.aggregate(found(text, "`[^`]*`"), F.lit(0), lambda a, x: a + F.length(x)), F.length(text)), F.lit(0.0)),
-        "number_rate": per_100(F.regexp_count(text, F.lit(r"\b\d[\d.,]*\b"))),
-        "name_rate": per_100(capitals),
-        "quote_rate": F.coalesce(F.try_divide(F.size(F.filter(lines, lambda x: x.rlike(r"^\s*>"))), F.size(lines)), F.lit(0.0)),
-        "question_rate": per_100(occurrences(text, "?")),
-        "exclamation_rate": per_100(occurrences(text, "!")),
+        "n_chars": F.length(x),
+        "n_sentences": F.size("_s"),
+        "n_paragraphs": F.size("_p"),
+        "sentence_mean": mean(F.col("_s")),
+        "sentence_sd": deviation(F.col("_s")),
+        "word_mean": F.coalesce(F.try_divide((F.length(toks) - n + 1).cast("double"), n), F.lit(0.0)),
+        "paragraph_mean": mean(F.col("_p")),
+        **{f"{k}_rate": per_100(reduce(lambda a, p: a + occurrences(low, p), phrases, among(words))) for k, (words, phrases) in LEXICONS.items()},
+        "link_rate": per_100(count(x, r"https?://\S+")),
+        "code_fraction": F.coalesce(F.try_divide(code, F.length(x)), F.lit(0.0)),
+        "number_rate": per_100(count(x, r"\b\d[\d.,]*\b")),
+        "name_rate": per_100(count(F.col("_raw"), f"(?<![^ ]){name}[^ ]* (?={name})")),
+        "quote_rate": F.coalesce(F.try_divide(count(x, r"(?:^|\n)[^\S\n]*>"), count(x, r"(?:^|\n)[^\S\n]*[^\s]")), F.lit(0.0)),
+        "question_rate": per_100(occurrences(x, "?")),
+        "exclamation_rate": per_100(occurrences(x, "!")),
     }
+    return one.select(*others, *(c.alias(k) for k, c in columns.items()))
 
 
 def title_tokens(title: Column) -> Column:

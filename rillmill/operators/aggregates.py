@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,17 +17,48 @@ def cumulative(df: DataFrame, keys: list[str], order: list[Column], **running) -
     return df.withColumns({name: agg.over(w) for name, agg in running.items()})
 
 
-def frequencies(df: DataFrame, keys: list[str], value: str, vocabulary: DataFrame) -> DataFrame:
-    """Counts of each value of the vocabulary (one column named like value) for each key, zeros included."""
+def frequencies(df: DataFrame, keys: list[str], value: str, vocabulary: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+    """Counts of each value of the vocabulary (one column named like value) for each key of the universe, or of df, zeros included; the vocabulary is one list beside each key."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    grid = df.select(*keys).distinct().crossJoin(F.broadcast(vocabulary))
+    words = vocabulary.agg(F.collect_set(value).alias("_all"))
+    grid = (df if universe is None else universe).select(*keys).distinct().crossJoin(words).select(*keys, F.explode("_all").alias(value))
     return grid.join(counts, [*keys, value], "left").select(*keys, value, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nearest_rank(values: str, p: float) -> Column:
-    """sorted[min(n - 1, floor(p n))] of a group's values, null for none; not what percentile_disc gives."""
-    s = F.array_sort(F.collect_list(values))
-    return F.when(F.size(s) > 0, F.element_at(s, F.least(F.size(s) - 1, F.floor(F.lit(p) * F.size(s)).cast("int")) + 1))
+RANGES = 4096
+
+
+def at_ranks(df: DataFrame, keys: list[str], value: str, pick: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each key and name of ``places`` the ``pick`` of the row at that place (from 0, a function of the number of values) in order of value and pick; null values don't count.
+
+    Values are counted by up to RANGES equal ranges between a key's least and greatest, so only rows of the ranges that hold a place are sorted:
+    no group is gathered in a task, whatever its size.
+    """
+    same = lambda a, b, cols: [a[c].eqNullSafe(b[f"_{c}"]) for c in cols]
+    prefixed = lambda x, cols: x.select(*(F.col(c).alias(f"_{c}" if c in cols else c) for c in x.columns))
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    whole = prefixed(ends, keys)
+    rows = df.select(*keys, value, pick).where(F.col(value).isNotNull())
+    rows = rows.join(whole, same(rows, whole, keys)).drop(*(f"_{k}" for k in keys))
+    span = F.col("_hi").cast("double") - F.col("_lo")
+    at = F.least(F.lit(RANGES - 1), F.floor((F.col(value).cast("double") - F.col("_lo")) / span * RANGES))
+    rows = rows.withColumn("_at", F.when(span > 0, at).otherwise(0).cast("int"))
+    counts = rows.groupBy(*keys, "_at").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = F.array(*(F.struct(F.lit(k).alias("name"), f(F.col("_n")).cast("bigint").alias("place")) for k, f in places.items()))
+    wanted = counts.withColumn("_before", before).withColumn("_w", F.explode(names)).where((F.col("_w.place") >= F.col("_before")) & (F.col("_w.place") < F.col("_before") + F.col("_c")))
+    wanted = prefixed(wanted.select(*keys, "_at", F.col("_w.name").alias("_name"), (F.col("_w.place") - F.col("_before")).alias("_place")), [*keys, "_at"])
+    some = rows.drop("_n", "_lo", "_hi")
+    some = some.join(wanted, same(some, wanted, [*keys, "_at"])).select(*keys, value, pick, "_name", "_place")
+    order = Window.partitionBy(*keys, "_name").orderBy(value, pick)
+    found = some.withColumn("_row", F.row_number().over(order) - 1).where("_row = _place").groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == k, F.col(pick))).alias(k) for k in places))
+    found = prefixed(found, keys)
+    return ends.join(found, same(ends, found, keys), "left").select(*keys, *places)
+
+
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """sorted[min(n - 1, floor(p n))] of each key's values for each p, null for none; not what percentile_disc gives."""
+    return at_ranks(df.withColumn("_v", F.col(value)), keys, value, "_v", {k: (lambda n, p=p: F.least(n - 1, F.floor(F.lit(p) * n))) for k, p in ps.items()})
 
 
 # H2 histograms: bins of width 2^a up to 2^(a+b+1), then 2^b bins for each power of two.
@@ -77,7 +108,7 @@ def histogram_percentiles(hist: DataFrame, keys: list[str], ps: list[float], a:
 def skyline(df: DataFrame, dims: dict[str, str], seq: str) -> DataFrame:
     """Rows that no other dominates; dims maps columns to min or max. Of equal coordinates the first by seq stays; rows with a null coordinate are left out.
 
-    Each partition keeps its own skyline first, so only those rows meet in one place.
+    Each partition keeps its own skyline first, then groups of partitions, so only what is left of these meets in one place.
     """
     sign = np.array([1.0 if d == "max" else -1.0 for d in dims.values()])
     names = list(dims)
@@ -89,14 +120,19 @@ def skyline(df: DataFrame, dims: dict[str, str], seq: str) -> DataFrame:
             x = rows[names].to_numpy(dtype=float) * sign
             order = np.lexsort((rows[seq].to_numpy(), *(-x[:, k] for k in range(x.shape[1] - 1, -1, -1))))
             kept: list[int] = []
-            front = np.empty((0, x.shape[1]))
+            front = np.empty((len(x), x.shape[1]))
             for i in order:  # in this order nothing later dominates what is kept
-                if not len(front) or not (front >= x[i]).all(axis=1).any():
+                if not (front[: len(kept)] >= x[i]).all(axis=1).any():
+                    front[len(kept)] = x[i]
                     kept.append(i)
-                    front = np.vstack([front, x[i]])
             best = rows.iloc[kept]
         if best is not None:
             yield best
 
     some = df.dropna(subset=names)
-    return some.mapInPandas(local, df.schema).coalesce(1).mapInPandas(local, df.schema)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = some.mapInPandas(local, df.schema)
+    while parts > 1:
+        parts = parts // 16
+        out = out.repartition(max(1, parts)).mapInPandas(local, df.schema)
+    return out

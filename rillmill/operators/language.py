@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillmill.functions.text import g2, poisson_surprise
+from rillmill.operators.recursion import cut
 
 
 def neighbours(df: DataFrame, keys: list[str], toks: Column) -> DataFrame:
     """(keys, left, right) of each two tokens that follow one another, from an array: no sort and no shuffle."""
-    pairs = F.arrays_zip(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))).alias("left"), F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))).alias("right"))
-    return df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, F.col("_p.left").alias("left"), F.col("_p.right").alias("right"))
+    t, n = F.col("_t"), F.greatest(F.size("_t") - 1, F.lit(0))  # a column of its own, so that tokens are found once
+    pairs = F.arrays_zip(F.slice(t, F.lit(1), n).alias("left"), F.slice(t, F.lit(2), n).alias("right"))
+    return df.select(*keys, toks.alias("_t")).select(*keys, F.explode(pairs).alias("_p")).select(*keys, F.col("_p.left").alias("left"), F.col("_p.right").alias("right"))
 
 
 def collocations(pairs: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
     """(keys, left, right, joint, g2, surprise) of the pairs that occur ``least`` times, from the counts of pairs; the marginals are sums of the same counts."""
-    counts = pairs.groupBy(*keys, "left", "right").agg(F.count("*").alias("joint"))
+    counts = cut(pairs.groupBy(*keys, "left", "right").agg(F.count("*").alias("joint")))
     first = counts.groupBy(*keys, "left").agg(F.sum("joint").alias("_l"))
     second = counts.groupBy(*keys, "right").agg(F.sum("joint").alias("_r"))
     whole = first.groupBy(*keys).agg(F.sum("_l").alias("_n"))

@@ -61,13 +61,14 @@ def lineage(edges: DataFrame, targets: DataFrame) -> DataFrame:
     A frontier goes back one step a round without what it has already seen, so shared
     ancestors of a target are walked once.
     """
-    seen = cut(targets.select(F.col("id").alias("target"), F.col("id").alias("id")).distinct())
-    front = seen
-    while not front.isEmpty():
+    front = cut(targets.select(F.col("id").alias("target"), F.col("id").alias("id")).distinct())
+    seen = front
+    while True:
         back = front.join(edges, "id").select("target", F.col("source").alias("id")).distinct()
         front = cut(back.join(seen, ["target", "id"], "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return seen
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)  # each round's rows are written once
 
 
 def spans(events: DataFrame) -> DataFrame:

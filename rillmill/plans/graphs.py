@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from rillmill.functions.curves import polyline
 from rillmill.functions.pythonic import quote_hits, z_ranges
 from rillmill.operators import recursion as R
-from rillmill.operators.aggregates import nearest_rank
+from rillmill.operators.aggregates import nearest_ranks
 from rillmill.sources.tables import table
 
 FAN = 3
@@ -44,10 +44,9 @@ def thread_shape(spark, sf_dir):
         F.max("depth").alias("depth"),
         F.min(F.when(F.col("depth") == 1, F.col("t") - F.col("tp"))).alias("first_reply"),
         F.round((F.max(F.when(F.col("depth") > 0, F.col("t"))) - F.min(F.when(F.col("depth") == 0, F.col("t")))) / 3600.0, 6).alias("hours"),
-        nearest_rank(late, 0.5).alias("p50"),
-        nearest_rank(late, 0.95).alias("p95"),
     )
-    return main.join(kids, "root", "left")
+    ranks = nearest_ranks(rows.select("root", late.alias("late")), ["root"], "late", {"p50": 0.5, "p95": 0.95})
+    return main.join(ranks, "root").join(kids, "root", "left")
 
 
 def top_branches(spark, sf_dir):
@@ -201,7 +200,7 @@ select * from k where rank < 3""",
                      union all select up.id, tree.parent from up join tree on up.anc = tree.id where tree.parent is not null and label in ('BUILDING', 'MACHINERY', 'HOUSEHOLD'))
 select id, anc as taken from up""",
     "lineage_walk": f"""with recursive {_EDGES},
-     w(target, id) as (select o_orderkey, o_orderkey from orders where o_orderkey % 100 = 0 and o_orderkey > 0 union select w.target, e.source from w join e using (id))
+     w(target, id) as (select o_orderkey, o_orderkey from orders union select w.target, e.source from w join e using (id))
 select target, count(*) as n, min(id) as first, cast(sum(id) as bigint) as ids from w group by 1""",
     "lineage_edges": f"with {_EDGES} select id, source, case when count(*) over (partition by id) > 1 then 'merge' else 'split' end as kind from e",
     "span_pairing": f"with {_TRACE} select * from span",

@@ -115,9 +115,10 @@ def global_aggregate(spark, sf_dir):
 
 
 def frequencies_zero_filled(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 4 = 0 or event_type in ('click', 'view')")
-    vocabulary = table(spark, sf_dir, "events").select("event_type").distinct()
-    return A.frequencies(e, ["user_id"], "event_type", vocabulary)
+    """Events of each type for every customer as a user; most have none of some types."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type")
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return A.frequencies(e, ["user_id"], "event_type", e.select("event_type"), users)
 
 
 def population_stdev(spark, sf_dir):
@@ -143,8 +144,8 @@ def entity_rollup(spark, sf_dir):
 
 
 def nearest_rank_percentiles(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy("source")
-    return d.agg(*[A.nearest_rank("n_chars", p).alias(f"p{round(p * 100)}") for p in (0.0, 0.5, 0.95, 1.0)])
+    d = table(spark, sf_dir, "documents").select("source", "n_chars")
+    return A.nearest_ranks(d, ["source"], "n_chars", {f"p{round(p * 100)}": p for p in (0.0, 0.5, 0.95, 1.0)})
 
 
 def _cents(spark, sf_dir):
@@ -206,12 +207,12 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _PORTS = """
-with c as (select c_custkey as key, c_name as item from customer where c_custkey % 3 <> 0),
-     o as (select o_custkey as key, list(o_orderpriority order by o_orderkey) as l from orders where o_custkey % 5 <> 0 group by 1),
-     e as (select case when user_id % 7 > 0 then user_id end as key, list(event_type order by event_id) as l from events group by 1),
+with c as (select c_custkey as key, c_name as item from customer),
+     o as (select o_custkey as key, list(o_orderpriority order by o_orderkey) as l from orders group by 1),
+     e as (select user_id as key, list(event_type order by event_id) as l from events group by 1),
      k as (select key from c union select key from o union select key from e),
-     j as (select k.key, coalesce(c.item, '') as names, cast(coalesce(len(o.l), 0) as integer) as n_orders, coalesce(array_to_string(o.l[1:3], ','), '') as orders,
-                  cast(coalesce(len(e.l), 0) as integer) as n_events, coalesce(array_to_string(e.l[1:3], ','), '') as events
+     j as (select k.key, coalesce(c.item, '') as names, cast(coalesce(len(o.l), 0) as integer) as n_orders, coalesce(array_to_string(o.l, ','), '') as orders,
+                  cast(coalesce(len(e.l), 0) as integer) as n_events, coalesce(array_to_string(e.l, ','), '') as events
            from k left join c on c.key is not distinct from k.key left join o on o.key is not distinct from k.key left join e on e.key is not distinct from k.key)
 select * from j"""
 _BIN = lambda v: f"case when {v} < 128 then {v} >> 2 else ({v} >> (length(bin({v})) - 1 - 4)) + ((length(bin({v})) - 1 - 7 + 1) << 4) end"
@@ -252,15 +253,15 @@ select event_id, user_id, count(*) over w as n, cast(sum(v) over w as bigint) as
 select count(*) as n, min(c) as least, max(c) as most, cast(sum(c) as bigint) as total, round(count(*) filter (l_returnflag = 'R') / count(*), 6) as returned
 from (select l_returnflag, cast(round(l_extendedprice * 100) as bigint) as c from lineitem)""",
     "frequencies_zero_filled": """
-with e as (select * from events where user_id % 4 = 0 or event_type in ('click', 'view'))
+with e as (select * from events)
 select u.user_id, t.event_type, count(e.event_id) as n
-from (select distinct user_id from e) u cross join (select distinct event_type from events) t left join e on e.user_id = u.user_id and e.event_type = t.event_type group by all""",
+from (select c_custkey as user_id from customer) u cross join (select distinct event_type from events) t left join e on e.user_id = u.user_id and e.event_type = t.event_type group by all""",
     "population_stdev": """
 with d as (select source, lang, case when toxic = 1 then cast(n_chars as double) end as x from documents left join labels using (doc_id))
 select source, lang, round(avg(x), 4) as mean, round(stddev_pop(x), 4) as sd, round(coalesce(avg(x), 0), 4) as mean0, round(coalesce(stddev_pop(x), 0), 4) as sd0 from d group by all""",
     "class_gap": "select lang, round(avg(n_chars) filter (quality = 1) - avg(n_chars) filter (quality = 0), 4) as gap from documents join labels using (doc_id) group by 1",
     "entity_rollup": """
-with r as (select p_brand, string_agg(l_orderkey, ',' order by l_shipdate, l_orderkey, l_linenumber) as records from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' and l_quantity = 50 group by 1)
+with r as (select p_brand, string_agg(l_orderkey, ',' order by l_shipdate, l_orderkey, l_linenumber) as records from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' group by 1)
 select p_brand, coalesce(records, '') as records from (select distinct p_brand from part) left join r using (p_brand)""",
     "nearest_rank_percentiles": """
 with s as (select source, list(n_chars order by n_chars) as s from documents group by 1)

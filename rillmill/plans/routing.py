@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rillmill.operators import aggregates as A
 from rillmill.operators import route as R
 from rillmill.sources import keyed
 from rillmill.sources.tables import table
@@ -45,9 +46,9 @@ def priority_sort(spark, sf_dir):
 
 def min_median_max(spark, sf_dir):
     """Least, middle and greatest order of each priority by price."""
-    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.array_sort(F.collect_list(F.struct("o_totalprice", "o_orderkey"))).alias("s"))
-    n = F.size("s")
-    return o.select("o_orderpriority", F.element_at("s", 1)["o_orderkey"].alias("least"), F.element_at("s", F.floor(n / 2).cast("int") + 1)["o_orderkey"].alias("middle"), F.element_at("s", n)["o_orderkey"].alias("greatest"))
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
+    places = {"least": lambda n: n * 0, "middle": lambda n: F.floor(n / 2), "greatest": lambda n: n - 1}
+    return A.at_ranks(o, ["o_orderpriority"], "o_totalprice", "o_orderkey", places)
 
 
 def closest_to_mean(spark, sf_dir):
@@ -55,14 +56,14 @@ def closest_to_mean(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.col("c_acctbal").cast("decimal(18,2)").cast("double").alias("b"))
     m = c.groupBy("c_nationkey").agg((F.sum(F.round(F.col("b") * 100).cast("bigint")) / F.count("*") / 100).alias("mb"), (F.sum("c_custkey") / F.count("*")).alias("mk"))
     key = F.round(F.abs(F.col("b") - F.col("mb")) - F.abs(F.col("c_custkey") - F.col("mk")), 4)
-    return R.top_per_group(c.join(F.broadcast(m), "c_nationkey").withColumn("k", key), ["c_nationkey"], [F.col("k"), F.col("c_custkey")], 5).select("c_nationkey", "c_custkey", "rank")
+    return R.top_per_group(c.join(m, "c_nationkey").withColumn("k", key), ["c_nationkey"], [F.col("k"), F.col("c_custkey")], 5).select("c_nationkey", "c_custkey", "rank")
 
 
 def take_last(spark, sf_dir):
     """The last five events of each user, in order, as text."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("a"))
-    last = F.slice("a", F.greatest(F.size("a") - 4, F.lit(1)), F.lit(5))
-    return e.select("user_id", F.array_join(last.cast("array<string>"), ",").alias("last"))
+    e = R.top_per_group(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], [F.desc("event_id")], 5)
+    last = F.array_sort(F.collect_list("event_id"))
+    return e.groupBy("user_id").agg(F.array_join(last.cast("array<string>"), ",").alias("last"))
 
 
 def cross_terms(spark, sf_dir):
@@ -235,7 +236,7 @@ select spec, count(*) as n, min(c_name) as first, max(c_name) as last from custo
 union all
 select spec, count(*), min(c_name), max(c_name) from customer, e where c_name >= lo and c_name < hi group by 1""",
     "kv_upsert": """
-with n as (select c_custkey as key, c_name as value from customer where c_custkey <= 60 or c_custkey % 7 = 0)
+with n as (select c_custkey as key, c_name as value from customer)
 select * from n union all select s_suppkey, s_name from supplier where s_suppkey not in (select key from n)""",
     "kv_put_new": "select s_suppkey as key, s_name as value from supplier union all select c_custkey, c_name from customer where c_custkey not in (select s_suppkey from supplier)",
     "kv_delete": "select c_custkey as key, c_name as value from customer where c_custkey not in (select o_custkey from orders)",

@@ -20,8 +20,8 @@ def _docs(spark, sf_dir):
 
 def style_features(spark, sf_dir):
     """A row of style figures for each document."""
-    cols = X.style_features(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", *(F.round(c, 6).alias(n) if n[:2] != "n_" else c.alias(n) for n, c in cols.items()))
+    df = X.style_features(_docs(spark, sf_dir).select("doc_id", "text"), "text")
+    return df.select("doc_id", *(F.round(n, 6).alias(n) if n[:2] != "n_" else n for n in df.columns if n != "doc_id"))
 
 
 def vocabulary_richness(spark, sf_dir):
@@ -151,12 +151,13 @@ for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), (
     _TITLE = f"replace({_TITLE}, '{_e}', '{_c}')"
 _TITLE = rf"trim(regexp_replace({_TITLE}, '\s+', ' ', 'g'))"
 _TITLES = rf"""select * from (select page_id, {_TITLE} as title,
-       substring(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<p>(.*?)</p>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 1, 60) as source from pages)
+       coalesce(nullif(regexp_extract(body, '^(.*?[.!?])(?:\s|$)', 1), ''), body) as source
+       from (select *, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as body from pages))
        where title is not null and title <> '' and source <> ''"""
 _ttok = lambda c: f"[t for t in string_split_regex(lower({c}), '[^a-z0-9''À-ſ]+') if t <> '']"
 _ctok = lambda c: f"[t for t in string_split_regex(lower({c}), '[^a-z0-9''À-ſ]+') if t <> '' and not list_contains([{_quote(X.STOP_WORDS)}], t)]"
 # DuckDB counts edits of bytes, so each letter of several bytes is replaced by a character of one
-_LETTERS = "äöüßéèêëàâçñíóúáïîôûù¿¡"
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüáúàâë"
 _bytes = lambda c: f"translate({c}, '{_LETTERS}', {' || '.join(f'chr({k})' for k in [*range(1, 9), *range(14, 32)][: len(_LETTERS)])})"
 _STRIP = "n_name || tail"
 for _p in X.SITE_SUFFIXES:

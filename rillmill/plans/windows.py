@@ -84,26 +84,23 @@ def month_spine(spark, sf_dir):
 
 
 def _popular(spark, sf_dir):
-    """Monthly sales of each brand's parts; a shape by brand makes the series differ."""
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    m = (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).alias("month")
-    code = F.substring("p_brand", 7, 1).cast("int")
-    li = li.where((code == 1) | ((code == 2) & (F.year("l_shipdate") < 1995)) | ((code == 3) & (F.col("l_shipdate") >= F.lit("1997-06-01"))) | ((code == 4) & (F.col("l_linenumber") > 5)) | ((code == 5) & (F.year("l_shipdate") % 2 == 0)))
-    n = li.groupBy("p_brand", m).agg(F.count("*").alias("n"))
-    months = li.agg(F.min(m).alias("lo"), F.max(m).alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("month"))
-    grid = li.select("p_brand").distinct().crossJoin(F.broadcast(months))
-    return S.as_arrays(grid.join(n, ["p_brand", "month"], "left").select("p_brand", "month", F.coalesce("n", F.lit(0)).alias("n")), ["p_brand"], "month", "n")
+    """Quarterly sales of each part, zeros included; parts sell seldom enough for the series to differ."""
+    q = (F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1).alias("quarter")
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", q)
+    n = li.groupBy("l_partkey", "quarter").agg(F.count("*").alias("n"))
+    ends = n.agg(F.min("quarter").alias("lo"), F.max("quarter").alias("hi"))  # one row
+    grid = n.select("l_partkey").distinct().crossJoin(F.broadcast(ends)).select("l_partkey", F.explode(F.sequence("lo", "hi")).alias("quarter"))
+    return S.as_arrays(grid.join(n, ["l_partkey", "quarter"], "left").select("l_partkey", "quarter", F.coalesce("n", F.lit(0)).alias("n")), ["l_partkey"], "quarter", "n")
 
 
 def trajectory_terms(spark, sf_dir):
     s = F.col("series")
-    return _popular(spark, sf_dir).select("p_brand", F.array_max(s).alias("peak"), F.element_at(s, -1).alias("cur"), S.peak_gap(s).alias("gap"), S.popularity(s).alias("trajectory"))
+    return _popular(spark, sf_dir).select("l_partkey", F.array_max(s).alias("peak"), F.element_at(s, -1).alias("cur"), S.peak_gap(s).alias("gap"), S.popularity(s).alias("trajectory"))
 
 
 def graveyard_topics(spark, sf_dir):
     """Users' topics by quarter of a day count: events of each type by five-day periods over the user's own range."""
-    e = _events(spark, sf_dir).where("event_type <> 'view'").select("user_id", F.col("event_type").alias("topic"), F.floor(F.col("t") / (5 * DAY)).alias("q"))
-    e = e.where((F.col("topic") != "signup") | (F.pmod(F.col("q"), F.lit(6)) < 2))
+    e = _events(spark, sf_dir).select("user_id", F.col("event_type").alias("topic"), F.floor(F.col("t") / (5 * DAY)).alias("q"))
     n = e.groupBy("user_id", "topic", "q").agg(F.count("*").alias("n"))
     spine = e.groupBy("user_id").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).select("user_id", F.explode(F.sequence("lo", "hi")).alias("q"))
     grid = e.select("user_id", "topic").distinct().join(spine, "user_id")
@@ -187,21 +184,20 @@ with {_E}, h as (select user_id, t % {DAY} // {HOUR} as h, count(*) as c from e
      n as (select user_id, cast(sum(c) as bigint) as n from h group by 1)
 select user_id, any_value(n) as n, round(max(c) / any_value(n), 6) as share, arg_max(start, (c, -start)) as start from s join n using (user_id) group by 1""",
     "month_spine": """
-with o as (select o_orderpriority, year(o_orderdate) * 12 + month(o_orderdate) - 1 as month, count(*) as n from orders where o_totalprice > 400000 group by all),
+with o as (select o_orderpriority, year(o_orderdate) * 12 + month(o_orderdate) - 1 as month, count(*) as n from orders group by all),
      s as (select o_orderpriority, cast(unnest(range(min(month), max(month) + 1)) as integer) as month from o group by 1)
 select o_orderpriority, month, coalesce(n, 0) as n from s left join o using (o_orderpriority, month)""",
     "trajectory_terms": """
-with li as (select p_brand, cast(year(l_shipdate) * 12 + month(l_shipdate) - 1 as bigint) as month from lineitem join part on l_partkey = p_partkey
-            where case cast(substr(p_brand, 7, 1) as integer) when 1 then true when 2 then year(l_shipdate) < 1995 when 3 then l_shipdate >= '1997-06-01' when 4 then l_linenumber > 5 when 5 then year(l_shipdate) % 2 = 0 end),
-     m as (select unnest(range(min(month), max(month) + 1)) as month from li),
-     g as (select b.p_brand, m.month, count(li.month) as n from (select distinct p_brand from li) b cross join m left join li on li.p_brand = b.p_brand and li.month = m.month group by all),
-     s as (select p_brand, list(n order by month) as s from g group by 1),
-     f as (select p_brand, list_max(s) as peak, s[len(s)] as cur, len(s) - list_max([i for i in range(1, len(s) + 1) if s[i] = list_max(s)]) as gap, case when len(s) > 6 then list_min(s[1 : len(s) - 6]) end as old from s)
-select p_brand, peak, cur, cast(gap as integer) as gap,
+with li as (select l_partkey, cast(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 as bigint) as q from lineitem),
+     m as (select unnest(range(min(q), max(q) + 1)) as q from li),
+     g as (select b.l_partkey, m.q, count(li.q) as n from (select distinct l_partkey from li) b cross join m left join li on li.l_partkey = b.l_partkey and li.q = m.q group by all),
+     s as (select l_partkey, list(n order by q) as s from g group by 1),
+     f as (select l_partkey, list_max(s) as peak, s[len(s)] as cur, len(s) - list_max([i for i in range(1, len(s) + 1) if s[i] = list_max(s)]) as gap, case when len(s) > 6 then list_min(s[1 : len(s) - 6]) end as old from s)
+select l_partkey, peak, cur, cast(gap as integer) as gap,
        case when peak = 0 then 'flat' when gap <= 6 and old < 0.2 * peak then 'rising' when gap >= 12 and cur <= 0.1 * peak then 'buried'
             when gap >= 6 and cur > 0.1 * peak and cur <= 0.5 * peak then 'fading' when gap <= 12 and cur > 0.5 * peak and cur <= 1.5 * peak then 'sustained' else 'fading' end as trajectory from f""",
     "graveyard_topics": f"""
-with {_E}, x as (select user_id, event_type as topic, t // {5 * DAY} as q from e where event_type <> 'view' and (event_type <> 'signup' or t // {5 * DAY} % 6 < 2)),
+with {_E}, x as (select user_id, event_type as topic, t // {5 * DAY} as q from e),
      sp as (select user_id, unnest(range(min(q), max(q) + 1)) as q from x group by 1),
      g as (select d.user_id, d.topic, sp.q, count(x.q) as n from (select distinct user_id, topic from x) d join sp on sp.user_id = d.user_id
            left join x on x.user_id = d.user_id and x.topic = d.topic and x.q = sp.q group by all),

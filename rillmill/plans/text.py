@@ -198,6 +198,16 @@ select page_id, title = source as same, lower(title) = lower(source) as same_fol
        length(title) - length(replace(title, '.', '')) - length(source) + length(replace(source, '.', '')) as more_stops,
        regexp_matches(title, '\[(?:pdf|video|audio|paywall|\d{{4}})\]') as tagged
 from ({_TITLES})""",
+    "title_relations": f"""
+with t as ({_TITLES}),
+     w as (select *, {_ttok("title")} as a, {_ttok("source")} as b, {_ctok("title")} as ca, {_ctok("source")} as cb, levenshtein({_bytes("title")}, {_bytes("source")}) / greatest(length(title), length(source)) as d from t),
+     r as (select *, list_reduce(list_concat([[0 for y in b]], [[cast(x = y as integer) for y in b] for x in a]),
+                       lambda acc, e: [list_max([case when e[i] = 1 then coalesce(acc[i - 1], 0) + 1 else acc[i] end for i in range(1, j + 1)]) for j in range(1, len(e) + 1)]) as last from w),
+     c as (select *, coalesce(coalesce(last[len(last)], 0) / nullif(least(len(a), len(b)), 0), 0) as common, len(a) / nullif(len(b), 0) as ratio,
+                  coalesce(len(list_intersect(ca, cb)) / nullif(len(list_distinct(list_concat(ca, cb))), 0), 0) as alike from r)
+select page_id, round(common, 6) as common,
+       case when title = source then 'identical' when lower(title) = lower(source) or d < 0.05 then 'near-identical' when ratio < 0.7 and common > 0.6 then 'clipped' when ratio > 1.3 and common > 0.6 then 'expanded'
+            when common > 0.4 and alike > 0.5 then 'rephrased' else 'divergent' end as relation from c""",
     "keyword_relevance": rf"select source, cast(coalesce(sum(case when regexp_matches(lower(text), '\b(?:{KEYWORDS})\b') then 1 else 0 end), 0) as bigint) as relevant, count(*) as n from documents group by 1",
     "sentiment_window": f"""
 with a as (select doc_id, text, instr(lower(text), 'license') - 1 as place from documents where contains(lower(text), 'license')),

@@ -136,3 +136,13 @@ def skyline(df: DataFrame, dims: dict[str, str], seq: str) -> DataFrame:
         parts = parts // 16
         out = out.repartition(max(1, parts)).mapInPandas(local, df.schema)
     return out
+
+
+def merge_histograms(parts: list[tuple[DataFrame, tuple[int, int]]], keys: list[str]) -> DataFrame:
+    """The bin-wise sum of histograms, each given with its (a, b); these must agree, as bins of others mean other values. Dense and sparse ones merge alike."""
+    if len({p for _, p in parts}) != 1:
+        raise ValueError("histograms of different parameters can't be merged")
+    both = parts[0][0]
+    for df, _ in parts[1:]:
+        both = both.unionByName(df)
+    return both.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))

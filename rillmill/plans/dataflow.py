@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillmill.functions import subjects as U
+from rillmill.functions import text as X
 from rillmill.functions import zorder
 from rillmill.functions.times import seconds
 from rillmill.operators import aggregates as A
 from rillmill.operators import compose as C
+from rillmill.operators import language as L
+from rillmill.operators import topology
 from rillmill.plans.joining import ORACLE_SQL as JOINING_SQL
+from rillmill.sources import sinks
 from rillmill.sources.tables import table
 
 DAY = 86400
@@ -209,7 +213,50 @@ def zorder_range_scan(spark, sf_dir):
     return p.join(F.broadcast(runs), F.col("code").between(F.col("lo"), F.col("hi"))).select("p_partkey", "x", "y")  # the box alone bounds the number of runs
 
 
+FLOW_STEPS = {"docs": "source", "clean": "map", "dedup": "stateful", "score": "call", "retry": "route", "mix": "aggregate", "audit": "map", "pack": "sink"}
+FLOW_EDGES = [("docs", "clean"), ("clean", "dedup"), ("clean", "audit"), ("dedup", "score"), ("score", "retry"), ("retry", "score"), ("retry", "mix"), ("audit", "mix"), ("mix", "pack")]
+
+
+def flow_steps(spark, sf_dir):
+    """The steps of a declared flow with their component and level."""
+    return topology.tables(spark, FLOW_STEPS, FLOW_EDGES)[0]
+
+
+def flow_edges(spark, sf_dir):
+    return topology.tables(spark, FLOW_STEPS, FLOW_EDGES)[1]
+
+
+def _trace(spark, sf_dir):
+    """Orders as runs by status, with their items' receipts and ends as messages and their flags as payloads."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_partkey").alias("part"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("run_id"), seconds("o_orderdate").alias("t"))
+    m = li.join(o, "l_orderkey").select("run_id", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("msg_id"), F.concat(F.lit("line"), "l_linenumber").alias("step"), "t", "part", F.concat_ws(":", "flag", F.col("part") % 50).alias("payload"))
+    ends = F.when(F.col("part") % 10 == 0, F.array("_recv")).otherwise(F.array("_recv", F.struct(F.when(F.col("part") % 10 == 1, "failure").otherwise("success").alias("kind"), (F.col("t") + F.col("part") % 100).alias("t"), F.lit(2).alias("seq"))))
+    m = m.withColumn("_recv", F.struct(F.lit("recv").alias("kind"), "t", F.lit(1).alias("seq"))).withColumn("_e", F.explode(ends))
+    return m.select("run_id", "msg_id", "step", "_e.kind", "_e.t", "_e.seq", F.when(F.col("_e.seq") == 1, F.col("payload")).alias("payload"))
+
+
+def trace_runs(spark, sf_dir):
+    return sinks.trace_tables(_trace(spark, sf_dir))["runs"]
+
+
+def trace_payloads(spark, sf_dir):
+    return sinks.trace_tables(_trace(spark, sf_dir))["payloads"]
+
+
+def trace_snapshot(spark, sf_dir):
+    """What is in flight, failed and slowest by step."""
+    return sinks.snapshot(sinks.trace_tables(_trace(spark, sf_dir))["spans"])
+
+
+def trigram_perplexity(spark, sf_dir):
+    """Perplexity of each benchmark text under a trigram model of the documents with one discount for each order."""
+    model = L.KneserNey(table(spark, sf_dir, "documents"), "doc_id", X.tokens(F.col("text")), order=3, modified=False)
+    return model.perplexity(table(spark, sf_dir, "benchmark"), "item_id", X.tokens(F.col("text"))).select("item_id", "n", F.round("perplexity", 4).alias("perplexity"))
+
+
 QUERIES = {f.__name__: f for f in (
+    flow_steps, flow_edges, trace_runs, trace_payloads, trace_snapshot, trigram_perplexity,
     derived_words, outputs_by_input, scatter_gather, fan_out_in, summarized_rows, matched_sides, handled_windows, cached_scores, confident_only, paced_events, top_items, paged_search, facet_counts, last_day_top,
     first_words, id_seconds, sorted_frontier, h2_profile, transitions, pattern_collisions, subject_checks, matched_subjects, zorder_space, zorder_range_scan,
 )}
@@ -223,7 +270,21 @@ _SUBJECTS = f"""t as (select unnest([{_LIST}]) as x), s as (select x as s from t
      union all select a.x || '.' || b.x || '.' || c.x || '.' || d.x from t a, t b, t c, t d)"""
 _PATTERNS = "p(p, r) as (values " + ", ".join(f"('{p}', '{_regex(p)}')" for p in PATTERNS) + ")"
 
+_FLOW = "e(a, b) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in FLOW_EDGES) + "), s(step, kind) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in FLOW_STEPS.items()) + ")"
+_REACH = f"with recursive {_FLOW}, r(a, b) as (select step, step from s union select r.a, e.b from r join e on r.b = e.a), c as (select x.a as step, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by 1)"
+_RUNS = """m as (select o_orderstatus as run_id, l_orderkey, l_linenumber, cast(floor(epoch_us(o_orderdate) / 1000000.0) as bigint) as t, part, flag || ':' || part % 50 as payload
+           from (select l_orderkey, l_linenumber, min(l_returnflag) as flag, min(l_partkey) as part from lineitem group by 1, 2) join orders on o_orderkey = l_orderkey)"""
+
 ORACLE_SQL = {
+    "flow_steps": f"""{_REACH}, ce as (select distinct x.component as a, y.component as b from e join c x on x.step = e.a join c y on y.step = e.b where x.component <> y.component),
+     l(c, n) as (select distinct component, 0 from c union select ce.b, n + 1 from l join ce on ce.a = l.c)
+select s.step, kind, component, (select max(n) from l where l.c = component) as level, cast((select count(*) from e where b = s.step) as integer) as ins, cast((select count(*) from e where a = s.step) as integer) as outs from s join c using (step)""",
+    "flow_edges": f"{_REACH} select e.a as source, e.b as target, x.component = y.component and e.a = 'retry' as feedback from e join c x on x.step = e.a join c y on y.step = e.b",
+    "trace_runs": f"""with {_RUNS}, v as (select run_id, t from m union all select run_id, t + part % 100 from m where part % 10 <> 0)
+select run_id, min(t) as began, max(t) as ended, count(*) as events from v group by 1""",
+    "trace_payloads": f"with {_RUNS} select distinct sha256(payload) as payload_id, payload from m",
+    "trace_snapshot": f"""with {_RUNS} select 'line' || l_linenumber as step, count(*) as received, count(*) filter (part % 10 = 0) as in_flight, count(*) filter (part % 10 = 1) as failed,
+       max(part % 100) filter (part % 10 <> 0) as slowest, round(avg(part % 100) filter (part % 10 <> 0), 6) as mean from m group by 1""",
     "derived_words": "select cast(p_partkey as varchar) || '/' || cast(i - 1 as varchar) as parents, cast(p_partkey as varchar) || '/' || cast(i - 1 as varchar) as data_id, cast(i - 1 as integer) as place, upper(w[i]) as word from (select p_partkey, w, unnest(range(1, len(w) + 1)) as i from (select p_partkey, string_split(p_name, ' ') as w from part))",
     "outputs_by_input": """
 with v as (select l_orderkey as k, l_orderkey || '-' || l_linenumber || '-' || l_partkey as v, l_returnflag from lineitem where l_quantity >= 48),

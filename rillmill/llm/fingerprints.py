@@ -85,7 +85,7 @@ def document_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     Terms are lower-case runs of letters and digits. A null text or one without
     terms has a null signature; null ids and repeated rows are kept as they
-    are; equal texts have equal signatures; an empty table gives an empty result. Columns beside doc_id and
+    are; equal texts have equal signatures, and of terms with equal samples the first by hash is taken; whole texts count, however long; an empty table gives an empty result. Columns beside doc_id and
     text are not read, whatever their names.
     """
 

@@ -157,7 +157,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Lines are what "\\n" separates; a blank line is a line. Rows with a null
     id or text, and those whose text was empty before, are kept as they are. Rows of one doc_id are
     distinct documents, in order of a hash of their texts; rows that repeat id and text
-    are one document and get the same result. Order among
+    are one document and get the same result, and of equal runs within one document the first stays. Whole texts are read, however long. Order among
     documents is the order of doc_id, so the copy with the smallest id stays. All other
     columns are carried along. An empty table gives an empty result.
     """

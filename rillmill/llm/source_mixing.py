@@ -121,7 +121,7 @@ def mix(docs: DataFrame, recipe: Recipe = PRODUCTION, keep_all: bool = False) ->
     blank texts) are never taken. Null or absent languages and sources form
     leaves of their own, named ''; null ids share one place in the order;
     rows that repeat an id are taken together. A leaf exceeds its budget by less than
-    the last id's tokens. An empty table gives an empty result. Other columns aren't read, whatever their names.
+    the last id's tokens. Siblings of equal weight and capacity get equal budgets; whole texts are counted, however long. An empty table gives an empty result. Other columns aren't read, whatever their names.
     """
     docs = sheltered(docs)
     site = leaf_columns(docs, recipe)

@@ -296,7 +296,7 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = NOTICES, anc
 
     Words are lower-case runs of a-z and 0-9, so line breaks, punctuation and
     capitals don't matter; first_word is the place of the first notice's first word. A
-    null or empty text has no notices; whole texts are scanned, however long. Words of equal rarity are taken as anchors in the order of the template. Null ids are carried along, rows that repeat are scanned each, an
+    null or empty text has no notices; whole texts are scanned, however long. Of words of equal rarity the first by name is the anchor. Null ids are carried along, rows that repeat are scanned each, an
     empty table gives an empty result. If a file has several licences, each has a row. Columns beside doc_id and
     text are not read, whatever their names.
     """

@@ -118,11 +118,25 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def numeric_entities(text: Column) -> Column:
+    """text with &#39; and &#x27; and their like decoded, up to U+FFFF; others stay as they are."""
+
+    def piece(p: Column, i: Column) -> Column:
+        tail = F.regexp_extract(p, r"^(?:\d{1,6}|[xX][0-9a-fA-F]{1,5});", 0)
+        digits = F.regexp_extract(tail, r"[0-9a-fA-F]+", 0)
+        code = F.when(F.lower(F.substring(tail, 1, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+        known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0xFFFF))
+        return F.when(i == 0, p).when(known, F.concat(char, F.substring(p, F.length(tail) + 1, F.length(p)))).otherwise(F.concat(F.lit("&#"), p))
+
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), piece), "")).otherwise(text)
+
+
 def html_title(html: Column) -> Column:
-    """og:title, else twitter:title, else the title element; common entities are decoded, white space is folded; null if there is none."""
+    """og:title, else twitter:title, else the title element; common and numeric entities are decoded, white space is folded; null if there is none."""
     meta = lambda key: F.regexp_extract(html, rf"(?is)<meta\s+[^>]*(?:property|name)=[\"']{key}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
     raw = [meta("og:title"), meta("twitter:title"), F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)]
-    title = F.coalesce(*(F.when(F.trim(r) != "", r) for r in raw))
+    title = numeric_entities(F.coalesce(*(F.when(F.trim(r) != "", r) for r in raw)))
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         title = F.replace(title, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(title, r"\s+", " "))

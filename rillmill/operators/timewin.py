@@ -18,22 +18,22 @@ def sliding_starts(t: Column, size: int, slide: int) -> Column:
     return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: (k * slide).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_watermark(df: DataFrame, t: str, seq: str, parts: int = 64) -> DataFrame:
+def with_watermark(df: DataFrame, t: str, seq: str, rows: int = 1_000_000) -> DataFrame:
     """Each row with _wm, the greatest time of all rows before it in order of seq.
 
-    Two levels, so that no task sees all rows: maxima of ranges of seq are carried over to
+    Two levels, so that no task sees all rows: maxima of ranges of seq, of about ``rows`` rows each (and 64 ranges at least), are carried over to
     the ranges after them, and a running maximum is taken within each.
     """
-    lo, hi = df.agg(F.min(seq), F.max(seq)).first()
+    lo, hi, n = df.agg(F.min(seq), F.max(seq), F.count("*")).first()
     if lo is None:
         return df.withColumn("_wm", F.lit(None).cast("bigint"))
-    width = max((hi - lo) // parts + 1, 1)
+    width = max((hi - lo) // max(64, n // rows) + 1, 1)
     ranged = df.withColumn("_part", F.floor((F.col(seq) - lo) / width))
     tops = ranged.groupBy("_part").agg(F.max(t).alias("_top"))
     carried = F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    tops = tops.select(F.col("_part").alias("_p"), carried.alias("_before"))  # at most ``parts`` rows
+    tops = tops.select(F.col("_part").alias("_p"), carried.alias("_before"))  # a row for each range
     inside = F.max(t).over(Window.partitionBy("_part").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
-    out = ranged.withColumn("_in", inside).join(F.broadcast(tops), F.col("_part") == F.col("_p"))
+    out = ranged.withColumn("_in", inside).join(tops, F.col("_part") == F.col("_p"))
     return out.withColumn("_wm", F.greatest("_in", "_before")).drop("_part", "_p", "_in", "_before")
 
 

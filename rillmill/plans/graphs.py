@@ -59,9 +59,9 @@ def top_branches(spark, sf_dir):
 
 
 def parent_chain(spark, sf_dir):
-    """Each message with parent, grandparent and the root of its thread, where they are."""
+    """Each message with parent, grandparent and the root of its thread, where they are; beyond six hops no root is sought."""
     p = R.paths(_items(spark, sf_dir))
-    return p.select("id", F.try_element_at("path", F.lit(1)).alias("parent"), F.try_element_at("path", F.lit(2)).alias("grandparent"), F.try_element_at("path", F.lit(-1)).alias("story"))
+    return p.select("id", F.try_element_at("path", F.lit(1)).alias("parent"), F.try_element_at("path", F.lit(2)).alias("grandparent"), F.when(F.size("path") <= 6, F.try_element_at("path", F.lit(-1))).alias("story"))
 
 
 def guarded_parents(spark, sf_dir):
@@ -194,7 +194,7 @@ select m.root, comments, depth, first_reply, hours, {_RANK(0.5)} as p50, {_RANK(
     "top_branches": f"""{_CLOSURE}, s as (select anc as id, count(*) as size from up group by 1), d as (select id, max(d) as depth from up group by 1),
      k as (select parent as root, row_number() over (partition by parent order by size desc, id) - 1 as rank, id, size from s join d using (id) join tree using (id) where depth = 1)
 select * from k where rank < 3""",
-    "parent_chain": f"""{_CLOSURE} select id, max(anc) filter (d = 1) as parent, max(anc) filter (d = 2) as grandparent, arg_max(anc, d) filter (d > 0) as story from up group by 1""",
+    "parent_chain": f"""{_CLOSURE} select id, max(anc) filter (d = 1) as parent, max(anc) filter (d = 2) as grandparent, case when max(d) <= 6 then arg_max(anc, d) filter (d > 0) end as story from up group by 1""",
     "guarded_parents": f"""with recursive {_ITEMS},
      up(id, anc) as (select id, parent from tree where parent is not null and label in ('BUILDING', 'MACHINERY', 'HOUSEHOLD')
                      union all select up.id, tree.parent from up join tree on up.anc = tree.id where tree.parent is not null and label in ('BUILDING', 'MACHINERY', 'HOUSEHOLD'))

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from rillmill.functions import subjects, zorder
+from rillmill.functions import subjects, text, zorder
 from rillmill.operators import aggregates, compose, language, recursion, topology
 from rillmill.sources import keyed, sinks
 from rillmill.streaming.windows import attempt
@@ -209,3 +209,9 @@ def test_derived_rows_know_their_parents(spark):
         seen[r["kid"]] += 1
         assert r["parent_ids"] == [7] and r["data_id"] == f"7/{r['place']}"
     assert dict(seen) == {"x": 1, "y": 1}
+
+
+def test_numeric_entities(spark):
+    rows = ["a&#39;b", "&#x41;&#X62;c", "&#8212; x", "&#0;", "&#xD800;", "&#1234567;", "& # &#", "plain", None, "&#233;&#39;"]
+    got = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(text.numeric_entities(F.col("t")).alias("t")).collect()]
+    assert got == ["a'b", "Abc", "— x", "&#0;", "&#xD800;", "&#1234567;", "& # &#", "plain", None, "é'"]

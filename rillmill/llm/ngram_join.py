@@ -258,7 +258,10 @@ def repeated(parts: DataFrame) -> DataFrame:
                     out.append(pack(*squeeze(c[keep]), d[keep], ls[keep], x, hs))
                 yield pa.RecordBatch.from_arrays([pa.array(block[lo:hi]), pa.array([1] * len(out), pa.int32()), pa.array(out, pa.binary())], ["_block", "_kind", "_blob"])
 
-    return parts.repartition("_to").sortWithinPartitions("_to").mapInArrow(run, "_block bigint, _kind int, _blob binary")
+    # ranges are dealt out in turn, as by hash some tasks would get several times the mean; the blocks' own rows go by hash
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.repartitionById(n, F.pmod(F.when(F.col("_to") < 0, F.xxhash64("_to")).otherwise(F.col("_to")), F.lit(n)).cast("int"))
+    return dealt.sortWithinPartitions("_to").mapInArrow(run, "_block bigint, _kind int, _blob binary")
 
 
 def members(known: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmill.llm.shared import sheltered
+from rillmill.llm.shared import lean, sheltered
 from rillmill.llm.textnum import Chars, Words, chunks
 
 BITS = 16
@@ -71,8 +71,8 @@ def sparse(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(doc))
             key, count = np.unique(doc * SIZE + bucket[at], return_counts=True)
             d = key // SIZE
-            docs.append(d + lo)
-            idx.append(key % SIZE)
+            docs.append((d + lo).astype(np.int32))
+            idx.append((key % SIZE).astype(np.int32))
             val.append(count / n[d])
     return (np.concatenate(x) if x else np.zeros(0) for x in (docs, idx, val))
 
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, cap: int) -> Model:
         m = fit([texts[i] for i in order], np.array(y, dtype=float)[order])
         yield pa.RecordBatch.from_pydict({"w": pa.array([m.weights.tobytes()], pa.binary()), "p": pa.array([[m.bias, m.a, m.b, m.base]], pa.list_(pa.float64()))})
 
-    got = labelled(docs, labels, label, cap).repartition(1).mapInArrow(run, "w binary, p array<double>").collect()
+    got = labelled(docs, labels, label, cap).repartition(1).mapInArrow(lean(run), "w binary, p array<double>").collect()
     if not got:
         return fit([], np.zeros(0))
     return Model(np.frombuffer(bytes(got[0]["w"]), dtype=np.float32), *got[0]["p"])

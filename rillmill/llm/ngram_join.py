@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmill.llm.shared import cut, release, sheltered
+from rillmill.llm.shared import cut, lean, release, sheltered
 from rillmill.llm.textnum import Chars, Words, chunks, mix64
 
 NGRAM, THRESHOLD = 3, 0.5
@@ -221,7 +221,7 @@ def blocks(docs: DataFrame, n: int) -> DataFrame:
             yield from flush(held)
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text"))
-    return rows.mapInArrow(run, "_to bigint, _block bigint, _blob binary")
+    return rows.mapInArrow(lean(run), "_to bigint, _block bigint, _blob binary")
 
 
 def repeated(parts: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def repeated(parts: DataFrame) -> DataFrame:
     # ranges are dealt out in turn, as by hash some tasks would get several times the mean; the blocks' own rows go by hash
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = parts.repartitionById(n, F.pmod(F.when(F.col("_to") < 0, F.xxhash64("_to")).otherwise(F.col("_to")), F.lit(n)).cast("int"))
-    return dealt.sortWithinPartitions("_to").mapInArrow(run, "_block bigint, _kind int, _blob binary")
+    return dealt.sortWithinPartitions("_to").mapInArrow(lean(run), "_block bigint, _kind int, _blob binary")
 
 
 def members(known: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def members(known: DataFrame) -> DataFrame:
                 keys = np.stack([k1, k2], axis=1).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array([keys[16 * i : 16 * i + 16] for i in range(len(ids))], pa.binary())], ["doc_id", "_text", "_set"])
 
-    return known.where("_kind = 0").select("_blob").mapInArrow(run, "doc_id bigint, _text bigint, _set binary")
+    return known.where("_kind = 0").select("_blob").mapInArrow(lean(run), "doc_id bigint, _text bigint, _set binary")
 
 
 def prefixes(known: DataFrame, threshold: float) -> DataFrame:
@@ -332,7 +332,7 @@ def prefixes(known: DataFrame, threshold: float) -> DataFrame:
                     )
 
     sorted_ = known.repartition("_block").sortWithinPartitions("_block", "_kind")
-    return sorted_.mapInArrow(run, "_set binary, _id bigint, _block bigint, _n int, _over int, _point binary, _cells array<bigint>, _grams binary")
+    return sorted_.mapInArrow(lean(run), "_set binary, _id bigint, _block bigint, _n int, _over int, _point binary, _cells array<bigint>, _grams binary")
 
 
 class RTree:
@@ -466,7 +466,7 @@ def met_pairs(found: DataFrame, threshold: float) -> DataFrame:
                     [pa.array(c[at]) for c in where] + [pa.array([names[r] for r in at], pa.binary()), pa.array(block[at]), pa.array(partners, pa.binary())], [*_MEETING, "_set", "_block", "_partners"]
                 )
 
-    return full.mapInArrow(run, "_leader bigint, _i int, _j int, _set binary, _block bigint, _partners binary")
+    return full.mapInArrow(lean(run), "_leader bigint, _i int, _j int, _set binary, _block bigint, _partners binary")
 
 
 def _forest(a: list[int], b: list[int], count: int) -> list[tuple[int, int]]:
@@ -546,7 +546,7 @@ def verified(found: DataFrame, pairs: DataFrame, sizes: DataFrame, threshold: fl
                 out_j = [None] * len(out_a)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary()), pa.array(out_j, pa.float64()), pa.array(out_n, pa.int64())], ["_a", "_b", "jaccard", "links"])
 
-    return both.mapInArrow(run, "_a binary, _b binary, jaccard double, links bigint")
+    return both.mapInArrow(lean(run), "_a binary, _b binary, jaccard double, links bigint")
 
 
 def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, each_pair: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmill.llm.linear import Model, sigmoid, train
-from rillmill.llm.shared import cut, sheltered
+from rillmill.llm.shared import cut, lean, sheltered
 
 SAMPLE_ROWS = 4000
 THRESHOLD = 0.5
@@ -47,7 +47,7 @@ def evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             names = [f.name for f in schema][:-1]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [pa.array(p)], [f.name for f in schema])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def strength(rate: Column, spread: Column) -> Column:

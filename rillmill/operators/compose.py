@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
 
@@ -29,13 +33,76 @@ def fan_in(rows: DataFrame, parent: str, order: str = "value") -> DataFrame:
     return lists.groupBy(parent).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("port", "_l")))).alias("arrived"))
 
 
-def summarize_rows(df: DataFrame, keys: list[str], order: list[str], summary: Callable[[tuple, pd.DataFrame], dict], schema: str) -> DataFrame:
-    """One row for each key from ``summary(key, rows in order)``, an opaque function; null is a key. A key's rows are in one task's memory, so prefer built-in aggregates where they can say the same."""
+class Rows:
+    """Neighbouring rows of a sorted batch: a column by its name as an array, null among whole numbers as None, and how many there are."""
+
+    __slots__ = ("columns", "lo", "hi")
+
+    def __init__(self, columns: dict[str, np.ndarray], lo: int, hi: int):
+        self.columns, self.lo, self.hi = columns, lo, hi
+
+    def __len__(self) -> int:
+        return self.hi - self.lo
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name][self.lo : self.hi]
+
+
+def _array(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column as an array; whole numbers and truth values with nulls as objects, so that none is rounded."""
+    if column.null_count and not pa.types.is_floating(column.type):
+        out = np.empty(len(column), dtype=object)
+        out[:] = column.to_pylist()
+        return out
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([summary(key, rows.sort_values(order, kind="stable"))])
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def _begins(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Places, from 1, at which a row's keys differ from those of the row before; null is a key, and so is NaN."""
+    new = np.zeros(max(len(rows) - 1, 0), dtype=bool)
+    for k in keys:
+        a, b = _array(rows[k])[1:], _array(rows[k])[:-1]
+        null = rows[k].is_null().to_numpy()
+        new |= (a != b) & ~((a != a) & (b != b)) | (null[1:] != null[:-1])
+    return np.flatnonzero(new) + 1
+
+
+def _by_group(df: DataFrame, keys: list[str], order: list[str], make: Callable[[tuple, dict[str, np.ndarray], int, int], Iterable[dict]], schema: str) -> DataFrame:
+    """Rows of ``make(key, columns, first, end)`` for each group of rows with the same keys. Groups pass through a task as a sorted stream, many to a batch; only a group is kept whole."""
+    out = to_arrow_schema(_parse_datatype_string(schema))
+
+    def emit(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        columns = {c: _array(rows[c]) for c in rows.column_names}
+        edges = [0, *_begins(rows, keys).tolist(), len(rows)]
+        names = [columns[k] for k in keys]
+        made = [r for lo, hi in zip(edges, edges[1:]) for r in make(tuple(c[lo] for c in names), columns, lo, hi)]
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in made], type=f.type, from_pandas=True) for f in out], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the group that may go on
+        for b in batches:
+            if not len(b):
+                continue
+            if held:
+                at = _begins(pa.Table.from_batches([held[-1].slice(len(held[-1]) - 1), b]), keys) - 1
+            else:
+                at = _begins(pa.Table.from_batches([b]), keys)
+            if not len(at):
+                held.append(b)
+                continue
+            yield emit([*held, b.slice(0, int(at[-1]))] if at[-1] else held)
+            held = [b.slice(int(at[-1]))]
+        if held:
+            yield emit(held)
+
+    by = [F.col(c).asc_nulls_last() for c in order]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *by).mapInArrow(run, schema)
+
+
+def summarize_rows(df: DataFrame, keys: list[str], order: list[str], summary: Callable[[tuple, Rows], dict], schema: str) -> DataFrame:
+    """One row for each key from ``summary(key, rows in order)``, an opaque function; null is a key. A key's rows are in one task's memory, so prefer built-in aggregates where they can say the same."""
+    return _by_group(df, keys, order, lambda key, columns, lo, hi: (summary(key, Rows(columns, lo, hi)),), schema)
 
 
 def on_match(left: DataFrame, right: DataFrame, key: str, match: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -43,15 +110,15 @@ def on_match(left: DataFrame, right: DataFrame, key: str, match: Callable[[tuple
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(match, schema)
 
 
-def on_window(df: DataFrame, time: str, size: int, order: list[str], handle: Callable[[int, int, pd.DataFrame], dict], schema: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each tumbling window that has rows, from ``handle(start, end, rows in order)``; times are whole numbers and windows begin at multiples of size."""
+def on_window(df: DataFrame, time: str, size: int, order: list[str], handle: Callable[[int, int, Rows], dict], schema: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each tumbling window that has rows, from ``handle(start, end, rows in order)``; times are whole numbers and windows begin at multiples of size. Rows without a time are a window without start and end."""
     start = F.floor(F.col(time) / size).cast("bigint") * size
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        begin = int(key[0])
-        return pd.DataFrame([handle(begin, begin + size, rows.drop(columns="_start").sort_values(order, kind="stable"))])
+    def make(key: tuple, columns: dict[str, np.ndarray], lo: int, hi: int) -> tuple[dict]:
+        begin = None if key[0] is None else int(key[0])
+        return (handle(begin, None if begin is None else begin + size, Rows(columns, lo, hi)),)
 
-    return df.withColumn("_start", start).groupBy("_start", *keys).applyInPandas(run, schema)
+    return _by_group(df.withColumn("_start", start), ["_start", *keys], order, make, schema)
 
 
 def derive(df: DataFrame, id_: str, children: Column, name: str) -> DataFrame:

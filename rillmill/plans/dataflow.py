@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,9 +58,10 @@ def fan_out_in(spark, sf_dir):
 def summarized_rows(spark, sf_dir):
     """An opaque summary of each user's events in order: the longest run of one type."""
 
-    def longest(key: tuple, rows: pd.DataFrame) -> dict:
-        run = (rows["event_type"] != rows["event_type"].shift()).cumsum()
-        return {"user_id": key[0], "n": len(rows), "longest": int(run.value_counts().max())}
+    def longest(key: tuple, rows: C.Rows) -> dict:
+        kind = rows["event_type"]
+        edges = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]]))
+        return {"user_id": key[0], "n": len(rows), "longest": int(np.diff(edges).max())}
 
     return C.summarize_rows(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], longest, "user_id bigint, n bigint, longest bigint")
 
@@ -78,8 +80,9 @@ def matched_sides(spark, sf_dir):
 def handled_windows(spark, sf_dir):
     """A function of each day's events of a user: first and last type."""
 
-    def handle(start: int, end: int, rows: pd.DataFrame) -> dict:
-        return {"user_id": rows["user_id"].iloc[0], "start": start, "end": end, "opened": rows["event_type"].iloc[0], "closed": rows["event_type"].iloc[-1]}
+    def handle(start: int, end: int, rows: C.Rows) -> dict:
+        kind = rows["event_type"]
+        return {"user_id": rows["user_id"][0], "start": start, "end": end, "opened": kind[0], "closed": kind[-1]}
 
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", seconds("ts").alias("t"))
     return C.on_window(e, "t", DAY, ["event_id"], handle, "user_id bigint, start bigint, end bigint, opened string, closed string", ("user_id",))

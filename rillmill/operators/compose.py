@@ -105,9 +105,19 @@ def summarize_rows(df: DataFrame, keys: list[str], order: list[str], summary: Ca
     return _by_group(df, keys, order, lambda key, columns, lo, hi: (summary(key, Rows(columns, lo, hi)),), schema)
 
 
-def on_match(left: DataFrame, right: DataFrame, key: str, match: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Rows of ``match(key, rows of the left, rows of the right)`` for each key of either side."""
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(match, schema)
+def on_match(left: DataFrame, right: DataFrame, key: str, match: Callable[[tuple, Rows, Rows], Iterable[dict]], schema: str) -> DataFrame:
+    """Rows of ``match(key, rows of the left, rows of the right)`` for each key of either side; as in a join, a null key meets no other."""
+
+    def side(df: DataFrame, k: int, mark: str) -> DataFrame:
+        return df.select(F.col(key).alias("_key"), F.when(F.col(key).isNull(), k).otherwise(-1).alias("_apart"), F.lit(k).alias("_side"), *(F.col(c).alias(mark + c) for c in df.columns))
+
+    def make(key: tuple, columns: dict[str, np.ndarray], lo: int, hi: int) -> Iterable[dict]:
+        mid = lo + int(np.searchsorted(columns["_side"][lo:hi], 1))
+        ours = lambda mark: {c[2:]: v for c, v in columns.items() if c.startswith(mark)}
+        return match(key[:1], Rows(ours("l_"), lo, mid), Rows(ours("r_"), mid, hi))
+
+    both = side(left, 0, "l_").unionByName(side(right, 1, "r_"), allowMissingColumns=True)
+    return _by_group(both, ["_key", "_apart"], ["_side"], make, schema)
 
 
 def on_window(df: DataFrame, time: str, size: int, order: list[str], handle: Callable[[int, int, Rows], dict], schema: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,8 +68,8 @@ def summarized_rows(spark, sf_dir):
 def matched_sides(spark, sf_dir):
     """A function of both sides of a key: a customer's orders and, as a user, events; keys on one side only have a row, too."""
 
-    def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"key": key[0], "orders": len(left), "events": len(right), "first": right["event_id"].min() if len(right) else -1}])
+    def match(key: tuple, left: C.Rows, right: C.Rows) -> list[dict]:
+        return [{"key": key[0], "orders": len(left), "events": len(right), "first": min((i for i in right["event_id"] if i is not None), default=-1)}]
 
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id")

@@ -33,3 +33,18 @@ def test_many_windows_share_a_batch(small_batches):
     sums = compose.summarize_rows(df, ["k"], ["i"], lambda key, r: {"k": key[0], "n": len(r), "first": r["i"][0]}, "k string, n bigint, first int")
     assert "InPandas" not in plan(sums)
     assert {r["k"]: (r["n"], r["first"]) for r in sums.collect()} == {k: (len(v), min(v)) for k in ("a", "b", None, "long") for v in [[r[2] for r in rows if r[3] == k]]}
+
+
+def test_many_keys_of_two_sides_share_a_batch(small_batches):
+    rng = random.Random(9)
+    left = [(rng.choice([None, *range(40), 2**60 + 1]), i) for i in range(120)]
+    right = [(rng.choice([None, *range(30, 70), 2**60 + 1]), rng.choice([None, f"v{i}"])) for i in range(120)]
+    a, b = small_batches.createDataFrame(left, "k bigint, v int").repartition(3), small_batches.createDataFrame(right, "k bigint, w string")
+    out = compose.on_match(a, b, "k", lambda key, x, y: [{"k": key[0], "v": sorted(map(int, x["v"])), "w": sorted(map(str, y["w"]))}] * 2, "k bigint, v array<int>, w array<string>")
+    assert "InPandas" not in plan(out)
+    vs, ws = defaultdict(list), defaultdict(list)
+    for d, rows in ((vs, left), (ws, right)):
+        for k, x in rows:
+            d[k].append(x)
+    want = [(k, sorted(vs[k]), sorted(map(str, ws[k]))) for k in (vs.keys() | ws.keys()) - {None}] + [(None, sorted(vs[None]), []), (None, [], sorted(map(str, ws[None])))]
+    assert sorted(map(str, want * 2)) == sorted(str((r["k"], r["v"], r["w"])) for r in out.collect())

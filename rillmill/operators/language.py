@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rillmill.functions.text import g2, poisson_surprise
 from rillmill.operators.recursion import cut
+from rillmill.sources.tables import file_bytes, spread
+
+BLOCK = 1 << 20  # tokens that a task counts at once
+BROADCAST_ROWS = 1_000_000
+SHARE = 3 << 20  # bytes of a corpus whose n-grams one partition takes
 
 
 def neighbours(df: DataFrame, keys: list[str], toks: Column) -> DataFrame:
@@ -41,15 +49,71 @@ def log_odds(counts: DataFrame, word: str, side: str, n: str) -> DataFrame:
 
 def grams(df: DataFrame, seq: str, toks: Column, n: int) -> DataFrame:
     """(seq, at, t1 .. tn) of each n-gram of an array of tokens."""
-    starts = F.when(F.size("_t") >= n, F.sequence(F.lit(0), F.size("_t") - n)).otherwise(F.array().cast("array<int>"))
-    out = df.select(seq, toks.alias("_t")).select(seq, "_t", F.explode(starts).alias("at"))
-    return out.select(seq, "at", *(F.element_at("_t", F.col("at") + k).alias(f"t{k}") for k in range(1, n + 1)))
-
-
-def _discounts(counts: DataFrame, modified: bool) -> DataFrame:
-    """One row (_d1, _d2, _d3): what a count of 1, 2, or 3 and more gives up."""
-    c = counts.agg(*(F.sum(F.when(F.col("_c") == k, 1).otherwise(0)).cast("double").alias(f"_n{k}") for k in (1, 2, 3, 4)))
-    n1, n2, n3, n4 = (F.col(f"_n{k}") for k in (1, 2, 3, 4))
+    size = F.greatest(F.size("_t") - (n - 1), F.lit(0))
+    zipped = F.arrays_zip(*(F.slice("_t", F.lit(k), size).alias(f"t{k}") for k in range(1, n + 1)))  # else the whole array would be copied for each n-gram
+    out = df.select(seq, toks.alias("_t")).select(seq, F.posexplode(zipped).alias("at", "_p"))
+    return out.select(seq, "at", *(F.col(f"_p.t{k}").alias(f"t{k}") for k in range(1, n + 1)))
+
+
+def _distinct(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(first places, counts) of the different tuples of codes, each column with its number of codes; in order of the codes."""
+    code, size = parts[0]
+    for a, n in parts[1:]:
+        if size * n >= 1 << 62:
+            known, code = np.unique(code, return_inverse=True)
+            size = len(known)
+        code, size = code * n + a, size * n
+    _, first, count = np.unique(code, return_index=True, return_counts=True)
+    return first, count
+
+
+def block_counts(df: DataFrame, keys: list[str], toks: Column, n: int) -> DataFrame:
+    """(keys, t1 .. tn, _c): how often each n-gram occurs in a block of rows; the whole is the sum over blocks. The rows of a block are in order of t2 .. tn, so that they take little room on their way."""
+    words = [f"t{k}" for k in range(1, n + 1)]
+    src = df.select(*keys, toks.alias("_t")).where(F.size("_t") >= n)
+    fields = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    schema = ", ".join([*(f"{k} {fields[k]}" for k in keys), *(f"{w} string" for w in words), "_c bigint"])
+
+    def count(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        lists = rows["_t"].chunk(0)
+        sizes = np.diff(lists.offsets.to_numpy())
+        words_ = lists.flatten().dictionary_encode(null_encoding="encode")
+        code = words_.indices.to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(code))  # tokens of the row from here on
+        at = np.flatnonzero(left >= n)
+        row = np.repeat(np.arange(len(sizes)), sizes)[at]
+        ids = [rows[k].chunk(0).dictionary_encode(null_encoding="encode") for k in keys]
+        vocabulary = len(words_.dictionary)
+        columns = [(i.indices.to_numpy().astype(np.int64)[row], len(i.dictionary)) for i in ids] + [(code[at + k], vocabulary) for k in (*range(1, n), 0)]
+        first, c = _distinct(columns)
+        own = [rows[k].chunk(0).take(pa.array(row[first])) for k in keys]
+        return pa.RecordBatch.from_arrays([*own, *(words_.dictionary.take(pa.array(code[at[first] + k])) for k in range(n)), pa.array(c)], names=[*keys, *words, "_c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            k = b.schema.get_field_index("_t")
+            for lo in range(0, len(b), 200):
+                part = b.slice(lo, 200)
+                held.append(part)
+                size += len(part.column(k).flatten())
+                if size >= BLOCK:
+                    yield from pieces(count(held))
+                    held, size = [], 0
+        if held:
+            yield from pieces(count(held))
+
+    def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return (b.slice(lo, 1 << 16) for lo in range(0, len(b), 1 << 16))
+
+    return src.mapInArrow(run, schema)
+
+
+def _discounts(c: DataFrame, modified: bool) -> DataFrame:
+    """One row (_d1, _d2, _d3): what a count of 1, 2, or 3 and more gives up; from a row (_n1 .. _n4) of the numbers of n-grams that occur so often."""
+    n1, n2, n3, n4 = (F.col(f"_n{k}").cast("double") for k in (1, 2, 3, 4))
     y = F.try_divide(n1, n1 + 2 * n2)
     if not modified:
         d = F.coalesce(y, F.lit(0.5))
@@ -63,42 +127,69 @@ def _discounts(counts: DataFrame, modified: bool) -> DataFrame:
 
 
 class KneserNey:
-    """Smoothed n-gram model whose tables are DataFrames: raw counts for the highest order, continuation counts below."""
+    """Smoothed n-gram model: raw counts for the highest order, continuation counts below.
+
+    All n-grams of the corpus are counted, in one shuffle by their last two words, from which every order's counts are made. What is kept of
+    them is what the n-grams to be scored need: their own counts, the sums of their contexts, and each order's counts of counts.
+    """
 
     def __init__(self, df: DataFrame, seq: str, toks: Column, order: int = 2, modified: bool = False):
-        self.order = order
-        words = [f"t{k}" for k in range(1, order + 1)]
-        top = grams(df, seq, toks, order).groupBy(*words).agg(F.count("*").cast("double").alias("_c"))
-        self.levels: dict[int, DataFrame] = {}
-        counts = top
-        for k in range(order, 0, -1):
+        self.order, self.modified = order, modified
+        last_two = [f"t{k}" for k in range(max(order - 1, 1), order + 1)]
+        parts = file_bytes(df) // SHARE
+        self.blocks = spread(block_counts(df, [], toks, order).repartition(*last_two), parts, *last_two)
+
+    def counts(self, k: int) -> DataFrame:
+        """(t1 .. tk, _c) of order k, below the highest how many different words come before."""
+        out = self.blocks.groupBy(*[f"t{j}" for j in range(1, self.order + 1)]).agg(F.sum("_c").alias("_c")).where("_c > 0")  # the condition keeps the column, so that all orders read one shuffle
+        for n in range(self.order - 1, k - 1, -1):
+            out = out.groupBy(*[f"t{j}" for j in range(2, n + 2)]).agg(F.count("*").alias("_c")).toDF(*[f"t{j}" for j in range(1, n + 1)], "_c")
+        return out
+
+    def _statistics(self, rows: DataFrame) -> DataFrame:
+        """(_k, t1 .. , _known, _gram, _s, _n1 .. _n4, _m3): for each order and each context of the rows the counts of the n-grams of these rows, and sums over the others; all other contexts are one row."""
+        few = rows.count() <= BROADCAST_ROWS
+        whole = None
+        for k in range(self.order, 0, -1):
             names = [f"t{j}" for j in range(1, k + 1)]
-            if k < order:  # how many different words come before
-                counts = counts.groupBy(*[f"t{j}" for j in range(2, k + 2)]).agg(F.count("*").cast("double").alias("_c")).toDF(*names, "_c")
-            self.levels[k] = self._level(counts, names, modified)
-
-    def _level(self, counts: DataFrame, names: list[str], modified: bool) -> DataFrame:
-        if len(names) == 1:
-            return counts.crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("_s")))).select("t1", (F.col("_c") / F.col("_s")).alias("_p"))
-        with_d = counts.crossJoin(F.broadcast(_discounts(counts, modified)))
-        d = F.when(F.col("_c") >= 3, F.col("_d3")).when(F.col("_c") >= 2, F.col("_d2")).otherwise(F.col("_d1"))
-        by = Window.partitionBy(*names[:-1])
-        s = F.sum("_c").over(by)
-        return with_d.select(*names, (F.greatest(F.col("_c") - d, F.lit(0.0)) / s).alias("_p"), (F.sum(d).over(by) / s).alias("_g"))
+            gram = rows.select(*(F.col(f"t{self.order - k + j}").alias(f"t{j}") for j in range(1, k + 1))).distinct().withColumn("_g", F.lit(True))
+            out = self.counts(k)
+            if k > 1:
+                context = gram.select(*names[:-1]).distinct().withColumn("_x", F.lit(True))
+                out = out.join(F.broadcast(context) if few else context, names[:-1], "left")
+            else:
+                out = out.withColumn("_x", F.lit(True))
+            out = out.join(F.broadcast(gram) if few else gram, names, "left")
+            known, hit = F.coalesce("_x", F.lit(False)), F.coalesce("_g", F.lit(False))
+            by = [F.when(known, F.col(t)).alias(t) for t in names[:-1]] + [F.when(hit, F.col(names[-1])).alias(names[-1])]
+            by += [F.lit(None).cast("string").alias(f"t{j}") for j in range(k + 1, self.order + 1)]
+            out = out.groupBy(F.lit(k).alias("_k"), *by, known.alias("_known"), hit.alias("_gram")).agg(
+                F.sum("_c").cast("double").alias("_s"), *(F.count_if(F.col("_c") == n).alias(f"_n{n}") for n in (1, 2, 3, 4)), F.count_if(F.col("_c") >= 3).alias("_m3")
+            )
+            whole = out if whole is None else whole.unionByName(out)
+        return cut(whole)
 
     def probability(self, rows: DataFrame) -> DataFrame:
         """rows (with t1 .. t<order>) and ``p``, from the lowest order up; where a context was never seen, the order below decides alone."""
         last = f"t{self.order}"
-        out = rows.join(self.levels[1].select(F.col("t1").alias(last), F.col("_p").alias("p")), last, "left").fillna(0.0, ["p"])
+        all_ = self._statistics(rows)
+        ones = all_.where("_k = 1")
+        words = ones.where("_gram").crossJoin(F.broadcast(ones.agg(F.sum("_s").alias("_whole")))).select(F.col("t1").alias(last), (F.col("_s") / F.col("_whole")).alias("p"))
+        out = rows.join(words, last, "left").fillna(0.0, ["p"])
         for k in range(2, self.order + 1):
             names = [f"t{j}" for j in range(self.order - k + 1, self.order + 1)]
-            level = self.levels[k].toDF(*names, "_q", "_g")
-            context = level.select(*names[:-1], "_g").distinct()
-            out = out.join(level.drop("_g"), names, "left").join(context, names[:-1], "left")
-            out = out.withColumn("p", F.when(F.col("_g").isNull(), F.col("p")).otherwise(F.coalesce("_q", F.lit(0.0)) + F.col("_g") * F.col("p"))).drop("_q", "_g")
+            own = all_.where(F.col("_k") == k)
+            d = F.broadcast(_discounts(own.agg(*(F.sum(f"_n{n}").alias(f"_n{n}") for n in (1, 2, 3, 4))), self.modified))
+            given = F.col("_d1") * F.sum("_n1") + F.col("_d2") * F.sum("_n2") + F.col("_d3") * F.sum("_m3")
+            context = own.where("_known").crossJoin(d).groupBy(*[f"t{j}" for j in range(1, k)], "_d1", "_d2", "_d3").agg(F.sum("_s").alias("_all"), given.alias("_given"))
+            context = context.select(*(F.col(f"t{j}").alias(names[j - 1]) for j in range(1, k)), "_all", (F.col("_given") / F.col("_all")).alias("_g"))
+            less = F.when(F.col("_s") >= 3, F.col("_d3")).when(F.col("_s") >= 2, F.col("_d2")).otherwise(F.col("_d1"))
+            gram = own.where("_gram").crossJoin(d).select(*(F.col(f"t{j}").alias(names[j - 1]) for j in range(1, k + 1)), F.greatest(F.col("_s") - less, F.lit(0.0)).alias("_q"))
+            out = out.join(gram, names, "left").join(context, names[:-1], "left")
+            out = out.withColumn("p", F.when(F.col("_g").isNull(), F.col("p")).otherwise(F.coalesce(F.col("_q") / F.col("_all"), F.lit(0.0)) + F.col("_g") * F.col("p"))).drop("_q", "_g", "_all")
         return out
 
     def perplexity(self, df: DataFrame, seq: str, toks: Column) -> DataFrame:
         """(seq, n, perplexity) over the n-grams of the highest order."""
-        scored = self.probability(grams(df, seq, toks, self.order))
+        scored = self.probability(cut(grams(df, seq, toks, self.order)))
         return scored.groupBy(seq).agg(F.count("*").alias("n"), F.exp(-F.avg(F.ln(F.greatest("p", F.lit(1e-300))))).alias("perplexity"))

@@ -1,11 +1,13 @@
 """Steps whose cost once outgrew their input: the same results as naive versions, and the shape that keeps the cost down."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rillmill.operators import compose
+from rillmill.operators import compose, language
 
 
 def plan(df) -> str:
@@ -48,3 +50,20 @@ def test_many_keys_of_two_sides_share_a_batch(small_batches):
             d[k].append(x)
     want = [(k, sorted(vs[k]), sorted(map(str, ws[k]))) for k in (vs.keys() | ws.keys()) - {None}] + [(None, sorted(vs[None]), []), (None, [], sorted(map(str, ws[None])))]
     assert sorted(map(str, want * 2)) == sorted(str((r["k"], r["v"], r["w"])) for r in out.collect())
+
+
+def test_model_moves_the_corpus_once(spark, monkeypatch):
+    monkeypatch.setattr(language, "BLOCK", 40)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string").repartition(3)
+    model = language.KneserNey(df, "id", F.split("t", " "), order=3)
+    grams = Counter(tuple(w[i : i + 3]) for t in texts for w in [t.split(" ")] for i in range(len(w) - 2))
+    pairs = Counter(g[1:] for g in grams)
+    assert {(r["t1"], r["t2"], r["t3"]): r["_c"] for r in model.counts(3).collect()} == grams
+    assert {(r["t1"], r["t2"]): r["_c"] for r in model.counts(2).collect()} == pairs
+    assert {r["t1"]: r["_c"] for r in model.counts(1).collect()} == Counter(g[1] for g in pairs)
+    assert "_t," not in plan(language.grams(df, "id", F.split("t", " "), 3)).split("Generate")[0]
+    assert plan(model.counts(2)).count("Exchange hashpartitioning") == 1
+    two = language._distinct([(np.array([0, 1, 0, 0]), 1 << 40), (np.array([5, 5, 5, 5]), 1 << 40), (np.array([1, 1, 2, 1]), 1 << 40)])
+    assert [x.tolist() for x in two] == [[0, 2, 1], [2, 1, 1]]

@@ -7,21 +7,35 @@ round leaves is written by ``checkpoint`` to the session's checkpoint folder.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WALKED = 2048  # targets whose lineage a task walks at once
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; in local mode without one, in a temporary folder."""
-    sc = df.sparkSession.sparkContext
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set if it wasn't: spark.checkpoint.dir; in local mode without one, a temporary folder."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not at and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="rillmill-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -71,6 +85,81 @@ def lineage(edges: DataFrame, targets: DataFrame) -> DataFrame:
         seen = seen.unionByName(front)  # each round's rows are written once
 
 
+def _walked(ids: np.ndarray, sources: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, least, sum) of what each of the sorted targets comes from, itself included; edges are sorted by id."""
+    low = min(int(targets.min()), int(sources.min()) if len(sources) else 1 << 62)
+    width = max(int(targets.max()), int(sources.max()) if len(sources) else -(1 << 62)) - low + 1
+    batch = max(1, min(WALKED, (1 << 62) // width))
+    parts: list[list[np.ndarray]] = [[], [], []]
+    for lo in range(0, len(targets), batch):
+        some = targets[lo : lo + batch]
+        front = np.arange(len(some)) * width + (some - low)  # target and id in one number
+        seen = front
+        while len(front):
+            row, id_ = front // width, front % width + low
+            first = np.searchsorted(ids, id_, "left")
+            n = np.searchsorted(ids, id_, "right") - first
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            back = np.unique(np.repeat(row, n) * width + (sources[at] - low))
+            place = np.minimum(np.searchsorted(seen, back), len(seen) - 1)
+            front = back[seen[place] != back]
+            seen = np.sort(np.concatenate([seen, front]), kind="stable")
+        row, id_ = seen // width, seen % width + low
+        begin = np.searchsorted(row, np.arange(len(some)))
+        for part, x in zip(parts, (np.diff(np.append(begin, len(row))), id_[begin], np.add.reduceat(id_, begin))):
+            part.append(x)
+    return tuple(np.concatenate(p) for p in parts)
+
+
+def lineage_figures(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, n, first, ids): how many rows of ``lineage`` each target has, with the least and the sum of their ids, whole numbers. No pair of target and id is ever stored.
+
+    The edges are written once, sorted by id, to the shared checkpoint folder, and mapped from there into every task, which walks back for a batch
+    of targets at a time: memory is that of a batch, disk that of the edges. Where the folder isn't a file system of the machines, lineage is used.
+    """
+    spark, distinct = targets.sparkSession, targets.select(F.col("id").cast("bigint").alias("id")).distinct()
+    base = checkpoint_folder(spark)
+    if urlparse(base).scheme not in ("", "file"):
+        return lineage(edges, targets).groupBy("target").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.sum("id").alias("ids"))
+    at = os.path.join(urlparse(base).path, "rillmill", f"edges-{uuid.uuid4().hex}")
+    os.makedirs(at)
+    whole = edges.select(F.col("id").cast("bigint").alias("id"), F.col("source").cast("bigint").alias("source")).where("id is not null and source is not null")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = os.path.join(at, uuid.uuid4().hex)  # an attempt that is repeated leaves a file that nobody names
+        n, lo, hi = 0, 0, 0
+        with open(part + ".id", "wb") as i, open(part + ".source", "wb") as s:
+            for b in batches:
+                if len(b):
+                    id_ = b.column(0).to_numpy()
+                    n, lo, hi = n + len(b), lo if n else int(id_[0]), int(id_[-1])
+                    i.write(id_.astype("<i8").tobytes())
+                    s.write(b.column(1).to_numpy().astype("<i8").tobytes())
+        if n:
+            yield pa.RecordBatch.from_pydict({"part": [part], "lo": [lo], "hi": [hi], "n": [n]})
+
+    parts = sorted(tuple(r) for r in whole.repartitionByRange("id").sortWithinPartitions("id", "source").mapInArrow(write, "part string, lo bigint, hi bigint, n bigint").select("lo", "hi", "part", "n").collect())
+    for kind in ("id", "source"):  # one file of each, in order of ids
+        with open(f"{at}/all.{kind}", "wb") as out:
+            for _, _, part, _ in parts:
+                with open(f"{part}.{kind}", "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 20)
+                os.remove(f"{part}.{kind}")
+    total = sum(p[3] for p in parts)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sources = (np.memmap(f"{at}/all.{k}", dtype="<i8", mode="r") if total else np.zeros(0, dtype=np.int64) for k in ("id", "source"))
+        for b in batches:
+            t = b.column(0).to_numpy()
+            if len(t):
+                n, first, sum_ = _walked(ids, sources, t)
+                yield pa.RecordBatch.from_pydict({"target": pa.array(t), "n": pa.array(n), "first": pa.array(first), "ids": pa.array(sum_)})
+
+    schema = "target bigint, n bigint, first bigint, ids bigint"
+    none = distinct.where("id is null").select(F.col("id").alias("target"), F.lit(1).cast("bigint").alias("n"), F.col("id").alias("first"), F.col("id").alias("ids"))
+    return distinct.where("id is not null").repartitionByRange("id").sortWithinPartitions("id").mapInArrow(walk, schema).unionByName(none)
+
+
 def spans(events: DataFrame) -> DataFrame:
     """(msg_id, step, began, ended, status): each receipt with the first success or failure after it in order; ``open`` if there is none."""
     closing = F.col("kind").isin("success", "failure")

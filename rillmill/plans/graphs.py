@@ -80,7 +80,7 @@ def _derivations(spark, sf_dir):
 def lineage_walk(spark, sf_dir):
     """What every order comes from: how many rows, the smallest and the sum of them."""
     targets = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    return R.lineage(_derivations(spark, sf_dir), targets).groupBy("target").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.sum("id").alias("ids"))
+    return R.lineage_figures(_derivations(spark, sf_dir), targets)
 
 
 def lineage_edges(spark, sf_dir):

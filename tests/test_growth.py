@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillmill.operators import compose, language
+from rillmill.operators import compose, language, recursion
 
 
 def plan(df) -> str:
@@ -67,3 +67,23 @@ def test_model_moves_the_corpus_once(spark, monkeypatch):
     assert plan(model.counts(2)).count("Exchange hashpartitioning") == 1
     two = language._distinct([(np.array([0, 1, 0, 0]), 1 << 40), (np.array([5, 5, 5, 5]), 1 << 40), (np.array([1, 1, 2, 1]), 1 << 40)])
     assert [x.tolist() for x in two] == [[0, 2, 1], [2, 1, 1]]
+
+
+def test_lineage_figures_store_no_pairs(small_batches, monkeypatch):
+    monkeypatch.setattr(recursion, "cut", None)  # pairs would be written by it
+    monkeypatch.setattr(recursion, "WALKED", 5)
+    rng = random.Random(11)
+    edges = [(i, rng.randrange(-5, i)) for i in range(60) for _ in range(rng.randrange(3))] + [(7, 2**61), (2**61, 3), (None, 3), (4, None)]
+    targets = [*range(-2, 61), 5, 5, 2**61, None]
+    df = small_batches.createDataFrame(edges, "id bigint, source bigint").repartition(3)
+    got = recursion.lineage_figures(df, small_batches.createDataFrame([(t,) for t in targets], "id bigint"))
+    want = {(None, 1, None, None)}
+    for t in set(targets) - {None}:
+        seen, front = {t}, {t}
+        while front:
+            front = {s for i, s in edges if i in front and s is not None} - seen
+            seen |= front
+        want.add((t, len(seen), min(seen), sum(seen)))
+    assert {tuple(r) for r in got.collect()} == want
+    none = recursion.lineage_figures(df.where("false"), small_batches.range(3))
+    assert {tuple(r) for r in none.collect()} == {(i, 1, i, i) for i in range(3)}

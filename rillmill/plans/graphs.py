@@ -9,7 +9,7 @@ from rillmill.functions.curves import polyline
 from rillmill.functions.pythonic import quote_hits, z_ranges
 from rillmill.operators import recursion as R
 from rillmill.operators.aggregates import nearest_ranks
-from rillmill.sources.tables import table
+from rillmill.sources.tables import SHARE, spread, table
 
 FAN = 3
 BOX = (20, 10, 75, 60)
@@ -91,8 +91,9 @@ def lineage_edges(spark, sf_dir):
 
 def _trace(spark, sf_dir):
     """Line items as a trace: a receipt for each, and a success, a failure or nothing later on."""
-    line = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("msg_id"), F.col("l_returnflag").alias("step"), (F.col("l_partkey") % 1000).alias("d"), F.col("l_linenumber").alias("k"))
-    line = line.groupBy("msg_id").agg(F.min("step").alias("step"), F.min("d").alias("d"), F.min("k").alias("k"))
+    items = table(spark, sf_dir, "lineitem")
+    line = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("msg_id"), F.col("l_returnflag").alias("step"), (F.col("l_partkey") % 1000).alias("d"), F.col("l_linenumber").alias("k"))
+    line = spread(line, items.count() // SHARE, "msg_id").groupBy("msg_id").agg(F.min("step").alias("step"), F.min("d").alias("d"), F.min("k").alias("k"))
     t = F.col("msg_id") * 3
     ends = F.when(F.col("d") % 10 == 0, F.array()).otherwise(F.array(F.struct(F.when(F.col("d") % 10 == 1, "failure").otherwise("success").alias("kind"), (t + F.col("d")).alias("t"), F.lit(2).alias("seq"))))
     all_ = F.concat(F.array(F.struct(F.lit("recv").alias("kind"), t.alias("t"), F.lit(1).alias("seq"))), ends)

@@ -16,7 +16,7 @@ from rillmill.operators import language as L
 from rillmill.operators import topology
 from rillmill.plans.joining import ORACLE_SQL as JOINING_SQL
 from rillmill.sources import sinks
-from rillmill.sources.tables import table
+from rillmill.sources.tables import SHARE, spread, table
 
 DAY = 86400
 PATTERNS = ("en.*", "*.src0", ">", "de.>", "en.src0", "*.*", "fr.src1.*", "*.>", "en.src0.more")
@@ -230,7 +230,8 @@ def flow_edges(spark, sf_dir):
 
 def _trace(spark, sf_dir):
     """Orders as runs by status, with their items' receipts and ends as messages and their flags as payloads."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_partkey").alias("part"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey")
+    li = spread(items, _shares(spark, sf_dir), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_partkey").alias("part"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("run_id"), seconds("o_orderdate").alias("t"))
     m = li.join(o, "l_orderkey").select("run_id", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("msg_id"), F.concat(F.lit("line"), "l_linenumber").alias("step"), "t", "part", F.concat_ws(":", "flag", F.col("part") % 50).alias("payload"))
     ends = F.when(F.col("part") % 10 == 0, F.array("_recv")).otherwise(F.array("_recv", F.struct(F.when(F.col("part") % 10 == 1, "failure").otherwise("success").alias("kind"), (F.col("t") + F.col("part") % 100).alias("t"), F.lit(2).alias("seq"))))
@@ -238,6 +239,11 @@ def _trace(spark, sf_dir):
     return m.select("run_id", "msg_id", "step", "_e.kind", "_e.t", "_e.seq", F.when(F.col("_e.seq") == 1, F.col("payload")).alias("payload"))
 
 
+def _shares(spark, sf_dir) -> int:
+    """Into how many partitions the items of the trace are dealt out."""
+    return table(spark, sf_dir, "lineitem").count() // SHARE
+
+
 def trace_runs(spark, sf_dir):
     return sinks.trace_tables(_trace(spark, sf_dir))["runs"]
 
@@ -248,7 +254,7 @@ def trace_payloads(spark, sf_dir):
 
 def trace_snapshot(spark, sf_dir):
     """What is in flight, failed and slowest by step."""
-    return sinks.snapshot(sinks.trace_tables(_trace(spark, sf_dir))["spans"])
+    return sinks.snapshot(sinks.trace_tables(spread(_trace(spark, sf_dir), _shares(spark, sf_dir), "run_id", "msg_id"))["spans"])
 
 
 def trigram_perplexity(spark, sf_dir):

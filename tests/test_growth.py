@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmill.operators import compose, language, recursion
+from rillmill.plans import dataflow, graphs, registry
+from tests.compare import DATA, assert_same
 
 
 def plan(df) -> str:
@@ -87,3 +89,11 @@ def test_lineage_figures_store_no_pairs(small_batches, monkeypatch):
     assert {tuple(r) for r in got.collect()} == want
     none = recursion.lineage_figures(df.where("false"), small_batches.range(3))
     assert {tuple(r) for r in none.collect()} == {(i, 1, i, i) for i in range(3)}
+
+
+@pytest.mark.parametrize("name", ["span_pairing", "span_stats", "trace_snapshot"])
+def test_more_rows_have_more_partitions(spark, monkeypatch, name):
+    monkeypatch.setattr(graphs, "SHARE", 300)
+    monkeypatch.setattr(dataflow, "SHARE", 300)
+    assert "REPARTITION_BY_NUM" in plan(registry.QUERIES[name](spark, DATA))
+    assert_same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name])

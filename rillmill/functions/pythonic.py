@@ -74,7 +74,7 @@ def alias_hits(text: Column, aliases: dict[str, list[str]]) -> Column:
 
 def folded(text: str) -> str:
     """Composed, lower-case, with single blanks for white space."""
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text).lower()).strip()
+    return " ".join(unicodedata.normalize("NFC", text).lower().split())
 
 
 def approximate(text: str, pattern: str, most: int) -> list[tuple[int, int, int]]:
@@ -127,32 +127,65 @@ def approximate_hits(text: Column, pattern: Column, most: Column) -> Column:
 class Quotes:
     """Whole quotes sought in texts at once, with the hits of ``approximate`` for each.
 
-    Cut into pieces of ``q`` characters, a quote with at most k edits keeps all but k of its pieces, and these lie on
-    diagonals (place in the text less place in the quote) at most k apart. Texts are read once for the pieces of all
-    quotes; where a band of diagonals holds enough of them, and these chain up, and there only, edits are counted.
+    Pieces of ``q`` characters of a quote, of which an edit breaks one at most: of P pieces all but k are kept by k edits, and these lie on
+    diagonals (place in the text less place in the quote) at most k apart. Many texts are read at once for the pieces of all
+    quotes, sorted by quote and diagonal. Where P - k of them are near enough, and chain up, the edits of all such places are
+    counted side by side, and only quotes that do occur are sought one at a time.
     """
 
     SLOTS = 1 << 18
+    CHUNK = 1 << 18  # characters read at once
+    WIDEST = 96  # pieces on near diagonals that are chained; with more, edits are counted at once
+    SIDE = 256  # places whose edits are counted side by side
 
     def __init__(self, quotes: list[tuple[object, str, int]]):
         self.quotes = [(i, folded(p), k) for i, p, k in quotes]
 
+    @cached_property
+    def whole(self) -> list[int]:
+        """Quotes too short for pieces: each text may have them."""
+        return [n for n, (_, p, k) in enumerate(self.quotes) if p and len(p) <= k]
+
     @cached_property
     def tables(self):
-        """For each q, the quotes cut so, with their budgets and least numbers of pieces, and slot -> (quote, place) as first, count, quote, place."""
+        """For each q, the quotes cut so, with their budgets and numbers of pieces, slot -> pieces as first, count, and each piece as one number (quote, - place, piece)."""
         out, by_q = [], {}
         for n, (_, p, k) in enumerate(self.quotes):
-            if p:
+            if len(p) > k:
                 by_q.setdefault(min(4, len(p) // (k + 1)), []).append(n)
         for q, ns in sorted(by_q.items()):
-            width = np.array([self.quotes[n][2] + 1 for n in ns])
-            least = np.array([len(self.quotes[n][1]) // q - self.quotes[n][2] for n in ns]) if q else None
-            at = [(h, i, j * q) for i, n in enumerate(ns) if q for j, h in enumerate(self.slots(self.quotes[n][1], q)[::q][: len(self.quotes[n][1]) // q].tolist())]
-            at = np.array(sorted(at), dtype=np.int64).reshape(-1, 3)
+            slots = [self.slots(self.codes(self.quotes[n][1]), q) for n in ns]
+            often = np.bincount(np.concatenate(slots), minlength=self.SLOTS) / sum(map(len, slots))
+            places = [self.pieces(often[s], q, self.quotes[n][2]) for n, s in zip(ns, slots)]
+            parts = np.array([len(p) for p in places])
+            low, longest = int(parts.max()).bit_length(), max(len(self.quotes[n][1]) for n in ns)
+            high = 62 - len(ns).bit_length()
+            at = [(int(s[x]), (i << high) + ((longest - x) << low) + j) for i, (s, p) in enumerate(zip(slots, places)) for j, x in enumerate(p)]
+            at = np.array(sorted(at), dtype=np.int64).reshape(-1, 2)
             count = np.bincount(at[:, 0], minlength=self.SLOTS)
-            out.append((q, ns, width, least, np.cumsum(count) - count, count, at[:, 1], at[:, 2]))
+            out.append((q, np.array(ns), np.array([self.quotes[n][2] for n in ns]), parts, np.cumsum(count) - count, count, at[:, 1], low, high, longest))
         return out
 
+    @staticmethod
+    def pieces(often: np.ndarray, q: int, k: int) -> list[int]:
+        """Places of the pieces, in order, that don't overlap: of each number of pieces above k the ones that occur least often, and of these numbers the one that chance reaches least."""
+        n, most = len(often), (len(often) + q - 1) // q
+        cost = np.full((most + 1, n + q), np.inf)  # of j pieces that end before a place
+        cost[0] = 0
+        for j in range(1, most + 1):
+            cost[j, q:] = np.minimum.accumulate(cost[j - 1, :n] + often)
+        chance = []
+        for j in range(k + 1, most + 1):
+            rate, least = cost[j, -1] * 3 * (k + 1), j - k  # diagonals at most k apart, and room for texts that resemble quotes
+            chance.append(least * np.log(rate / least) + least - rate if rate < least else 0.0)
+        j, x, out = k + 1 + int(np.argmin(chance)), n + q - 1, []
+        while j:
+            while x > q and cost[j, x - 1] == cost[j, x]:
+                x -= 1
+            out.append(x - q)
+            x, j = x - q, j - 1
+        return out[::-1]
+
     @cached_property
     def masks(self) -> list[dict[str, int]]:
         out = []
@@ -163,13 +196,19 @@ class Quotes:
             out.append(bits)
         return out
 
-    def slots(self, text: str, q: int) -> np.ndarray:
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        n = len(c) - q + 1
-        h = np.zeros(max(n, 0), dtype=np.uint64)
-        for i in range(q if n > 0 else 0):
-            h = h * np.uint64(1000003) + c[i : i + n]
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+    @staticmethod
+    def codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+    @staticmethod
+    def slots(codes: np.ndarray, q: int) -> np.ndarray:
+        n = max(len(codes) - q + 1, 0)
+        h = np.zeros(n, dtype=np.uint32)
+        for i in range(q if n else 0):
+            h *= np.uint32(0x01000193)
+            h ^= codes[i : i + n]
+        h *= np.uint32(0x9E3779B1)
+        return h >> np.uint32(14)
 
     def ends(self, n: int, text: str):
         """(end, distance) of each place where the quote may end within its budget, by Myers' bit vectors."""
@@ -193,93 +232,172 @@ class Quotes:
             if score <= k:
                 yield j, score
 
-    def candidates(self, text: str):
-        """Quotes that may occur in the folded text."""
-        for q, ns, width, least, first, count, quote, place in self.tables:
-            if not q:
-                yield from ns
-                continue
-            slot = self.slots(text, q)
+    def places(self, codes: np.ndarray):
+        """(quotes, first diagonals, last diagonals): where in the text a quote may occur, with the diagonals that its alignments may touch."""
+        for q, ns, budget, parts, first, count, value, low, high, longest in self.tables:
+            slot = self.slots(codes, q)
             c = count[slot]
+            at = np.flatnonzero(c)
+            c = c[at]
             total = int(c.sum())
-            if not total:
-                continue
-            here = np.repeat(first[slot] - np.cumsum(c) + c, c) + np.arange(total)
-            who, part = quote[here], place[here]
-            diagonal = np.repeat(np.arange(len(slot)), c) - part
-            longest = max(len(self.quotes[n][1]) for n in ns)
-            step = np.maximum(width // 6, 1)
-            reach = (width - 1) // step + 2  # so many steps hold any k + 1 diagonals
-            bands = (len(text) + longest) // step + 1 + reach
-            base = np.cumsum(bands) - bands
-            key = base[who] + (diagonal + longest) // step[who]
-            upto = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=int(bands.sum())))])
-            at = np.arange(len(upto) - 1)
-            good = np.flatnonzero(upto[np.minimum(at + np.repeat(reach, bands), len(upto) - 1)] - upto[:-1] >= np.repeat(least, bands))
-            if not len(good):
-                continue
-            i = np.searchsorted(base, good, "right") - 1
-            edge = np.zeros(len(upto) + int(reach.max()), dtype=np.int64)
-            np.add.at(edge, good, 1)
-            np.add.at(edge, good + reach[i], -1)
-            held = np.cumsum(edge) > 0
-            group = np.cumsum(held & ~np.concatenate([[False], held[:-1]]))
-            sel = np.flatnonzero(held[key])
-            g, w = group[key[sel]], who[sel]
-            order = np.lexsort((diagonal[sel], part[sel], g, w))
-            sel, g, w = sel[order], g[order], w[order]
-            cuts = np.flatnonzero((g[1:] != g[:-1]) | (w[1:] != w[:-1])) + 1
-            done = -1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sel)]):
-                k_, n = int(w[lo]), ns[w[lo]]
-                if n == done or hi - lo < least[k_]:
-                    continue
-                d = diagonal[sel[lo:hi]].tolist()
-                k, m = self.quotes[n][2], len(self.quotes[n][1])
-                if self.chained((part[sel[lo:hi]] // q).tolist(), d, m // q, k) and next(self.ends(n, text[max(min(d) - k, 0) : max(d) + m + k + 1]), None):
-                    done = n
-                    yield n
+            here = np.repeat(first[slot[at]] - np.cumsum(c) + c, c) + np.arange(total)
+            key = value[here] + np.repeat(at << low, c)
+            key.sort()
+            place = key >> low  # of the quote and the diagonal
+            who = key >> high
+            far = np.arange(total) + (parts - budget - 1)[who]
+            good = np.flatnonzero(far < total)
+            good = good[place[far[good]] - place[good] <= budget[who[good]]]
+            end = np.searchsorted(place, place[good] + budget[who[good]], "right")
+            new = np.concatenate([[True], end[1:] != end[:-1]])[: len(good)]  # else all its pieces are those of the one before
+            good, end = good[new], end[new]
+            keep = end - good > self.WIDEST
+            for a, b in ((0, 16), (16, 32), (32, self.WIDEST)):
+                for some in np.array_split(x := np.flatnonzero((end - good > a) & (end - good <= b)), len(x) // 4096 + 1):
+                    w = who[good[some]]
+                    keep[some] = self.chained(key, place, good[some], end[some], b, low, parts[w], budget[w])
+            good, end = good[keep], end[keep]
+            w = who[good]
+            least = parts[w] - budget[w]  # so many pieces are kept, of whichever there are
+            diagonal = lambda i: (place[i] & ((1 << high - low) - 1)) - longest
+            yield ns[w], diagonal(good + least - 1) - budget[w], diagonal(end - least) + budget[w]
 
     @staticmethod
-    def chained(part: list[int], diagonal: list[int], parts: int, k: int) -> bool:
-        """Whether some of these pieces, in order, leave room for k edits: between two kept pieces each piece lost and each diagonal passed costs one."""
-        if len(part) > 80:
-            return True
-        if parts - len(set(part)) > k:
-            return False
-        kept: list[tuple[int, int, int]] = []
-        for i, d in zip(part, diagonal):
-            cost = i
-            for x, j, e in kept:
-                if j < i and x < cost:
-                    away = d - e if d > e else e - d
-                    x += away if away >= i - j else i - j - 1
-                    if x < cost:
-                        cost = x
-            if cost + parts - 1 - i <= k:
-                return True
-            if cost <= k:
-                kept.append((cost, i, d))
-        return False
+    def chained(key, place, first, end, width, low, parts, budget) -> np.ndarray:
+        """Whether some of the pieces from first to end, in order, leave room for the budget: between two kept pieces each piece lost and each diagonal passed costs one."""
+        at = first + np.arange(width)[:, None]
+        none = at >= end
+        at = np.minimum(at, len(key) - 1)
+        away = int(budget.max() if len(budget) else 0).bit_length()
+        kind = np.int16 if low + away <= 14 else np.int64
+        both = np.where(none, 1 << low + away, (key[at] & ((1 << low) - 1)) << away | np.minimum(place[at] - place[first], (1 << away) - 1)).astype(kind)
+        both.sort(axis=0)
+        part = both >> away
+        lost = parts - ((part[1:] != part[:-1]) & (part[1:] < parts)).sum(axis=0) - 1
+        some = np.flatnonzero(lost <= budget)  # else there are too few different pieces
+        out = np.zeros(len(first), dtype=bool)
+        part, d, parts, budget = part[:, some], both[:, some] & ((1 << away) - 1), parts[some].astype(kind), budget[some].astype(kind)
+        cost, found = part.copy(), np.zeros(len(some), dtype=bool)
+        for t in range(width):
+            if t:
+                gap = part[t] - part[:t]
+                x = np.maximum(gap - 1, np.abs(d[t] - d[:t])) + cost[:t]
+                x += (gap == 0).astype(kind) << 13  # the same piece
+                np.minimum(cost[t], x.min(axis=0), out=cost[t])
+            found |= (part[t] < parts) & (cost[t] + (parts - 1) - part[t] <= budget)
+        out[some] = found
+        return out
 
-    def hits(self, text: str) -> list[tuple[object, int, int, int]]:
-        """(id, start, end, distance) of all quotes: the rows of ``approximate`` over the whole text."""
-        text, out = folded(text), []
-        for n in self.candidates(text):
-            id_, p, k = self.quotes[n]
-            best, last = [], -1
-            for end, d in self.ends(n, text):
-                if end != last + 1 or not best:
-                    best.append((end, d))
-                elif d < best[-1][1]:
-                    best[-1] = (end, d)
-                last = end
-            for end, _ in best:
-                low = max(end - 2 * (len(p) + k) - 4, 0)  # all alignments within the budget, and those they are compared with, begin after it
-                start, _, d = approximate_folded(text[low:end], p, k)[-1]
-                out.append((id_, start + low, end, d))
+    def confirmed(self, codes: np.ndarray, who: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether a quote occurs within its budget on these diagonals, for many of them; characters count as equal if their last eight bits are.
+
+        The edit matrices have a row for each character of the quote and a column for each diagonal; a cell depends on those with a lesser sum
+        of twice its row and its column, so all of one sum are found together. Even and odd columns are kept apart.
+        """
+        out = np.zeros(len(who), dtype=bool)
+        size = np.array([len(p) for _, p, _ in self.quotes])
+        budget = np.array([k for _, _, k in self.quotes])
+        order = np.argsort(size[who], kind="stable")
+        text = (codes & 255).astype(np.uint8)
+        for some in (order[i : i + self.SIDE] for i in range(0, len(order), self.SIDE)):
+            n, count = who[some], len(some)
+            m, k, side = size[n], budget[n], np.arange(count)
+            top, wide = int(m.max()), int((end[some] - begin[some]).max() + 1) // 2
+            wide = max(wide, 1)
+            quote = np.zeros((top + 2 * wide + 2, count), dtype=np.uint8)  # last character first, with room on both sides
+            for x, i in enumerate(n):
+                p = self.codes(self.quotes[i][1]) & 255
+                quote[wide + 1 + top - len(p) : wide + 1 + top, x] = p[::-1]
+            at = begin[some] + np.arange(top + 3 * wide + 2)[:, None]
+            here = np.where((at >= 0) & (at < len(text)), text[np.clip(at, 0, len(text) - 1)], 255)
+            kind, most = (np.uint8, 250) if k.max() < 250 else (np.uint16, 65000)
+            even, odd, best = np.zeros((wide + 1, count), kind), np.zeros((wide, count), kind), np.full(count, most, dtype=kind)
+            near = np.empty((wide + 1, count), kind)
+            for h in range(1, top + wide + 1):
+                lo = wide + 1 + top - h  # of the quote's character h - 1, counted from the last one
+                for cells, others, text_at in ((even, odd, h - 1), (odd, even, h)):
+                    rows = len(cells)
+                    differs = (quote[lo : lo + rows] != here[text_at : text_at + rows]).view(np.uint8)
+                    cells += differs
+                    if cells is even:
+                        np.minimum(odd[1:], odd[:-1], out=near[1:wide])
+                        near[0], near[wide] = odd[0], odd[-1]
+                    else:
+                        np.minimum(even[1:], even[:-1], out=near[:wide])
+                    part = near[:rows]
+                    part += 1
+                    np.minimum(cells, part, out=cells)
+                    np.minimum(cells, most, out=cells)
+                    if h < rows:
+                        cells[h:] = 0
+                    x = h - m
+                    seen = np.flatnonzero((x >= 0) & (x < rows))
+                    if len(seen):
+                        best[seen] = np.minimum(best[seen], cells[x[seen], seen])
+            out[some] = best <= k
+        return out
+
+    def all_hits(self, texts: list[str]) -> list[list[tuple[object, int, int, int]]]:
+        """(id, start, end, distance) of all quotes in each text: the rows of ``approximate`` over the whole text."""
+        texts = [folded(t) for t in texts]
+        out: list[list] = [[] for _ in texts]
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo + 1, len(texts[lo])
+            while hi < len(texts) and size + len(texts[hi]) < self.CHUNK:
+                size += len(texts[hi]) + 1
+                hi += 1
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts[lo:hi])])
+            codes = self.codes("\0".join(texts[lo:hi]))
+            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for places in self.places(codes):
+                sure = self.confirmed(codes, *places)
+                for n, d, e in zip(*(x[sure].tolist() for x in places)):
+                    a, b = np.searchsorted(begins, [max(d, 0), e + len(self.quotes[n][1])], "right") - 1
+                    for t in range(int(a), min(int(b), hi - lo - 1) + 1):
+                        found.setdefault((t, n), []).append((d - int(begins[t]), e - int(begins[t])))
+            for (t, n), ds in found.items():
+                out[lo + t] += self.hits_near(texts[lo + t], n, ds)
+            for t in range(lo, hi):
+                out[t] += [h for n in self.whole for h in self.hits_near(texts[t], n, None)]
+            lo = hi
         return out
 
+    def hits_near(self, text: str, n: int, diagonals: list[tuple[int, int]] | None):
+        """(id, start, end, distance) of a quote in a folded text, with ends that are on diagonals from first to last of a range; anywhere for None."""
+        id_, p, k = self.quotes[n]
+        m = len(p)
+        if diagonals is None:
+            all_ = dict(self.ends(n, text))
+        else:
+            all_, ranges = {}, []
+            for a, b in sorted(diagonals):
+                if ranges and a <= ranges[-1][1] + 1:
+                    ranges[-1][1] = max(b, ranges[-1][1])
+                else:
+                    ranges.append([a, b])
+            for a, b in ranges:
+                low = max(a - k, 0)  # an alignment that ends here begins after it
+                all_ |= {low + e: d for e, d in self.ends(n, text[low : max(b + m, 0)]) if low + e >= a + m}
+        best, last = [], -1
+        for end, d in sorted(all_.items()):
+            if end != last + 1 or not best:
+                best.append((end, d))
+            elif d < best[-1][1]:
+                best[-1] = (end, d)
+            last = end
+        for end, d in best:
+            if not d:
+                yield id_, end - m, end, 0
+                continue
+            low = max(end - 2 * (m + k) - 4, 0)  # all alignments within the budget, and those they are compared with, begin after it
+            start, _, d = approximate_folded(text[low:end], p, k)[-1]
+            yield id_, start + low, end, d
+
+    def hits(self, text: str) -> list[tuple[object, int, int, int]]:
+        """``all_hits`` of one text."""
+        return self.all_hits([text])[0]
+
 
 def quote_hits(text: Column, quotes: list[tuple[int, str, int]]) -> Column:
     """array<struct<item_id, start, end, distance>>: every hit of quotes, given as (item_id, quote, budget), in the text; empty for a null text."""
@@ -288,7 +406,9 @@ def quote_hits(text: Column, quotes: list[tuple[int, str, int]]) -> Column:
     @F.pandas_udf("array<struct<item_id: bigint, start: int, end: int, distance: int>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[] if t is None else [{"item_id": i, "start": s, "end": e, "distance": d} for i, s, e, d in index.hits(t)] for t in texts])
+            hits = (h for lo in range(0, len(texts), 500) for h in index.all_hits(["" if t is None else t for t in texts[lo : lo + 500]]))
+            rows = [[] if t is None else [{"item_id": i, "start": s, "end": e, "distance": d} for i, s, e, d in h] for t, h in zip(texts, hits)]
+            yield pd.Series(rows)
 
     return scan(text)
 

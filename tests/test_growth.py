@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillmill.functions.pythonic import Quotes
 from rillmill.operators import compose, language, recursion
 from rillmill.plans import dataflow, graphs, registry
-from tests.compare import DATA, assert_same
+from tests.compare import DATA, assert_same, connect
 
 
 def plan(df) -> str:
@@ -97,3 +98,24 @@ def test_more_rows_have_more_partitions(spark, monkeypatch, name):
     monkeypatch.setattr(dataflow, "SHARE", 300)
     assert "REPARTITION_BY_NUM" in plan(registry.QUERIES[name](spark, DATA))
     assert_same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name])
+
+
+def test_quotes_are_sought_singly_only_where_they_are(monkeypatch):
+    con = connect()
+    quotes = [(i, t, max(4, len(t) // 5)) for i, t in con.execute("select item_id, text from benchmark where text is not null").fetchall()]
+    texts = [t for (t,) in con.execute("select text from documents where text is not null order by doc_id").fetchall()]
+    rng = random.Random(4)
+    for i, t, k in quotes:  # near copies, with and without prose around them
+        x = list(t)
+        for _ in range(rng.choice((0, 2, k // 2, k, k + 2))):
+            x[rng.randrange(len(x))] = rng.choice(("", "q", " z"))
+        texts.append(rng.choice(("", texts[i][:200])) + "".join(x) + rng.choice(("", texts[i][-200:])))
+    index, sought, ends = Quotes(quotes), set(), Quotes.ends
+    monkeypatch.setattr(Quotes, "ends", lambda self, n, text: sought.add((n, text)) or ends(self, n, text))
+    each = [sorted(index.hits(t)) for t in texts]
+    pairs = sum(len({h[0] for h in hits}) for hits in each)
+    assert pairs > 20
+    assert len(sought) <= 2 * pairs  # it was every place that pieces made likely
+    for size in (1, 3000, 1 << 22):
+        monkeypatch.setattr(Quotes, "CHUNK", size)
+        assert [sorted(h) for h in index.all_hits(texts)] == each

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rillmill.functions.text import g2, poisson_surprise
 from rillmill.operators.recursion import cut
@@ -15,23 +18,24 @@ from rillmill.sources.tables import file_bytes, spread
 
 BLOCK = 1 << 20  # tokens that a task counts at once
 BROADCAST_ROWS = 1_000_000
+MERGED = 16 << 20  # bytes of a corpus whose pairs are merged by one task
+_KIND = np.array([1 if 97 <= c <= 122 else 2 if 48 <= c <= 57 else 0 for c in range(256)], dtype=np.uint8)
 SHARE = 3 << 20  # bytes of a corpus whose n-grams one partition takes
 
 
-def neighbours(df: DataFrame, keys: list[str], toks: Column) -> DataFrame:
-    """(keys, left, right) of each two tokens that follow one another, from an array: no sort and no shuffle."""
-    t, n = F.col("_t"), F.greatest(F.size("_t") - 1, F.lit(0))  # a column of its own, so that tokens are found once
-    pairs = F.arrays_zip(F.slice(t, F.lit(1), n).alias("left"), F.slice(t, F.lit(2), n).alias("right"))
-    return df.select(*keys, toks.alias("_t")).select(*keys, F.explode(pairs).alias("_p")).select(*keys, F.col("_p.left").alias("left"), F.col("_p.right").alias("right"))
+def collocations(df: DataFrame, keys: list[str], text: Column, least: int = 5) -> DataFrame:
+    """(keys, left, right, joint, g2, surprise) of the pairs of neighbouring words that occur ``least`` times; rows with a null key are left out.
 
-
-def collocations(pairs: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
-    """(keys, left, right, joint, g2, surprise) of the pairs that occur ``least`` times, from the counts of pairs; the marginals are sums of the same counts."""
-    counts = cut(pairs.groupBy(*keys, "left", "right").agg(F.count("*").alias("joint")))
-    first = counts.groupBy(*keys, "left").agg(F.sum("joint").alias("_l"))
-    second = counts.groupBy(*keys, "right").agg(F.sum("joint").alias("_r"))
-    whole = first.groupBy(*keys).agg(F.sum("_l").alias("_n"))
-    rows = counts.where(F.col("joint") >= least).join(first, [*keys, "left"]).join(second, [*keys, "right"]).join(whole, keys)
+    Pairs, the marginals of either side and the number of all pairs are counted in blocks and go over once, a word or two of
+    the marginals being null; what is kept of them is what ``least`` leaves.
+    """
+    known = df.where(reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True)))
+    counts = cut(summed_pairs(known, keys, text, least, file_bytes(df) // MERGED).toDF(*keys, "left", "right", "joint"))
+    left, right = F.col("left").isNotNull(), F.col("right").isNotNull()
+    first = counts.where(left & ~right).select(*keys, "left", F.col("joint").alias("_l"))
+    second = counts.where(right & ~left).select(*keys, "right", F.col("joint").alias("_r"))
+    whole = counts.where(~left & ~right).select(*keys, F.col("joint").alias("_n"))
+    rows = counts.where(left & right).join(first, [*keys, "left"]).join(second, [*keys, "right"]).join(F.broadcast(whole), keys)
     args = [F.col(c).cast("double") for c in ("joint", "_l", "_r", "_n")]
     return rows.select(*keys, "left", "right", "joint", g2(*args).alias("g2"), poisson_surprise(*args).alias("surprise"))
 
@@ -63,18 +67,88 @@ def _distinct(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarr
             known, code = np.unique(code, return_inverse=True)
             size = len(known)
         code, size = code * n + a, size * n
-    _, first, count = np.unique(code, return_index=True, return_counts=True)
-    return first, count
+    places = len(code).bit_length()
+    if size >= 1 << 62 - places:
+        _, first, count = np.unique(code, return_index=True, return_counts=True)
+        return first, count
+    code = code << places | np.arange(len(code))  # numbers are sorted faster than their places
+    code.sort()
+    new = np.flatnonzero(np.diff(code >> places, prepend=-1))
+    return code[new] & (1 << places) - 1, np.diff(new, append=len(code))
+
+
+def _sums(parts: list[tuple[np.ndarray, int]], c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each different tuple of codes, the sum of its numbers), codes as in ``_distinct``."""
+    code, size = np.zeros(len(c), dtype=np.int64), 1
+    for a, n in parts:
+        if size * n >= 1 << 62:
+            known, code = np.unique(code, return_inverse=True)
+            size = len(known)
+        code, size = code * n + a, size * n
+    places = len(c).bit_length()
+    if size < 1 << 62 - places:  # numbers are sorted faster than their places
+        code = code << places | np.arange(len(c))
+        code.sort()
+        order, code = code & (1 << places) - 1, code >> places
+    else:
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[: len(c)])
+    return order[new], np.add.reduceat(c[order], new) if len(new) else c
+
+
+def word_lists(texts: pa.StringArray) -> pa.ListArray:
+    """The words of ``functions.text.tokens`` of texts in lower case, none of them null."""
+    edges = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[edges[0] : edges[-1]]
+    edges = edges.astype(np.int64) - edges[0]
+    first = np.zeros(len(data) + 1, dtype=bool)  # bytes that begin a text
+    first[edges] = True
+    first = first[: len(data)]
+    kind = _KIND[data]
+    inside = kind > 0
+    p = np.flatnonzero(data == 39)
+    p = p[(p > 0) & (p < len(data) - 1)]
+    p = p[inside[p - 1] & (kind[p + 1] == 1) & ~first[p] & ~first[p + 1]]
+    splits = []
+    if len(p):
+        ends = np.flatnonzero(np.append(~inside, True) | np.append(first, True))  # of the letters and digits after an apostrophe
+        end = ends[np.searchsorted(ends, p + 1, "right")]
+        digits = np.append(np.flatnonzero(kind == 2), len(data))
+        digit = digits[np.searchsorted(digits, p + 1)]
+        chained = np.concatenate([[False], p[1:] == end[:-1]])
+        good = np.ones(len(p), dtype=bool)
+        for i in np.flatnonzero(chained):  # the word ended with what follows the apostrophe before, if that has no digit
+            good[i] = not (good[i - 1] and digit[i - 1] >= end[i - 1])
+        splits = digit[good & (digit < end)]
+        inside[p[good]] = True
+    start = inside & (first | ~np.concatenate([[False], inside[:-1]])) if len(data) else inside
+    start[splits] = True
+    starts = np.flatnonzero(start)
+    kept = data[inside]
+    places = np.append(np.flatnonzero(start[inside]), len(kept)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(kept))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, edges).astype(np.int32)), words)
+
+
+def tokenized(b: pa.RecordBatch) -> pa.RecordBatch:
+    k = b.schema.get_field_index("_t")
+    return b.set_column(k, "_t", word_lists(b.column(k)))
+
 
+def block_counts(df: DataFrame, keys: list[str], toks: Column, n: int, marginals: bool = False, packed: int = 0, lowered: bool = False) -> DataFrame:
+    """(keys, t1 .. tn, _c): how often each n-gram occurs in a block of rows; the whole is the sum over blocks. The rows of a block are in order of t2 .. tn, so that they take little room on their way.
 
-def block_counts(df: DataFrame, keys: list[str], toks: Column, n: int) -> DataFrame:
-    """(keys, t1 .. tn, _c): how often each n-gram occurs in a block of rows; the whole is the sum over blocks. The rows of a block are in order of t2 .. tn, so that they take little room on their way."""
+    With ``marginals`` (of pairs) there are also rows for each word on the left, each on the right, and all pairs, the other words being null.
+    With ``packed`` the rows are (_part, _rows): those of a block by the hash of their words, in so many parts, each as an Arrow batch.
+    With ``lowered``, toks is a text in lower case, whose words are found here.
+    """
     words = [f"t{k}" for k in range(1, n + 1)]
-    src = df.select(*keys, toks.alias("_t")).where(F.size("_t") >= n)
+    src = df.select(*keys, toks.alias("_t")).where(F.col("_t").isNotNull() if lowered else F.size("_t") >= n)
     fields = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     schema = ", ".join([*(f"{k} {fields[k]}" for k in keys), *(f"{w} string" for w in words), "_c bigint"])
 
-    def count(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def count(parts: list[pa.RecordBatch]) -> tuple:
         rows = pa.Table.from_batches(parts).combine_chunks()
         lists = rows["_t"].chunk(0)
         sizes = np.diff(lists.offsets.to_numpy())
@@ -88,27 +162,88 @@ def block_counts(df: DataFrame, keys: list[str], toks: Column, n: int) -> DataFr
         vocabulary = len(words_.dictionary)
         columns = [(i.indices.to_numpy().astype(np.int64)[row], len(i.dictionary)) for i in ids] + [(code[at + k], vocabulary) for k in (*range(1, n), 0)]
         first, c = _distinct(columns)
-        own = [rows[k].chunk(0).take(pa.array(row[first])) for k in keys]
-        return pa.RecordBatch.from_arrays([*own, *(words_.dictionary.take(pa.array(code[at[first] + k])) for k in range(n)), pa.array(c)], names=[*keys, *words, "_c"])
+        owner, of = row[first], [code[at[first] + k] for k in range(n)]
+        if marginals:
+            held = [owner], [of], [c]
+            for sides in ((0,), (1,), ()):
+                parts_ = [(a[at_], size) for a, at_, size in ((i.indices.to_numpy().astype(np.int64), owner, len(i.dictionary)) for i in ids)] + [(of[k], vocabulary) for k in sides]
+                one, sums = _sums(parts_, c)
+                held[0].append(owner[one])
+                held[1].append([of[k][one] if k in sides else np.full(len(one), -1) for k in range(n)])
+                held[2].append(sums)
+            owner, of, c = np.concatenate(held[0]), [np.concatenate(x) for x in zip(*held[1])], np.concatenate(held[2])
+        return rows, owner, of, c, words_.dictionary
+
+    def record(rows: pa.Table, owner: np.ndarray, of: list[np.ndarray], c: np.ndarray, dictionary: pa.Array) -> pa.RecordBatch:
+        own = [rows[k].chunk(0).take(pa.array(owner)) for k in keys]
+        return pa.RecordBatch.from_arrays([*own, *(dictionary.take(pa.array(x, mask=x < 0)) for x in of), pa.array(c)], names=[*keys, *words, "_c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
+        for b in map(tokenized, batches) if lowered else batches:
             k = b.schema.get_field_index("_t")
             for lo in range(0, len(b), 200):
                 part = b.slice(lo, 200)
                 held.append(part)
                 size += len(part.column(k).flatten())
                 if size >= BLOCK:
-                    yield from pieces(count(held))
+                    yield from pack(*count(held)) if packed else pieces(record(*count(held)))
                     held, size = [], 0
         if held:
-            yield from pieces(count(held))
+            yield from pack(*count(held)) if packed else pieces(record(*count(held)))
 
     def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        return (b.slice(lo, 1 << 16) for lo in range(0, len(b), 1 << 16))
+        return (b.slice(lo, 1 << 16) for lo in range(0, len(b), 1 << 16))  # of long runs Spark would hold all
+
+    def pack(rows: pa.Table, owner: np.ndarray, of: list[np.ndarray], c: np.ndarray, dictionary: pa.Array) -> Iterator[pa.RecordBatch]:
+        own = hash_array(dictionary.fill_null("").to_numpy(zero_copy_only=False), categorize=False)
+        own = np.append(own, np.uint64(0))  # of no word
+        part = np.zeros(len(c), dtype=np.uint64)
+        for x in of:
+            part = part * np.uint64(1000003) + own[x]
+        part = ((part ^ part >> np.uint64(32)) % np.uint64(packed)).astype(np.uint16 if packed < 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(packed + 1))
+        dealt, full = record(rows, owner[order], [x[order] for x in of], c[order], dictionary), np.flatnonzero(np.diff(edges))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(full.astype(np.int32)), pa.array([dealt.slice(edges[i], edges[i + 1] - edges[i]).serialize().to_pybytes() for i in full], pa.binary())], names=["_part", "_rows"]
+        )
+
+    return src.mapInArrow(run, "_part int, _rows binary" if packed else schema)
+
+
+def summed_pairs(df: DataFrame, keys: list[str], text: Column, least: int, parts: int) -> DataFrame:
+    """(keys, t1, t2, _c): how often pairs and their marginals, as of ``block_counts``, occur, if that is ``least`` times at least; the numbers of all pairs in any case.
+
+    Spark moves few long rows, a block's share for each part, rather than one for each pair of a block; each part is then merged by itself.
+    """
+    parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole, words = block_counts(df, keys, F.array(text), 2).schema, ["t1", "t2"]
+    schema, names = to_arrow_schema(whole), whole.names
+
+    def merge(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        codes = [rows[k].chunk(0).dictionary_encode(null_encoding="encode") for k in (*keys, *words)]
+        first, total = _sums([(c.indices.to_numpy().astype(np.int64), len(c.dictionary)) for c in codes], rows["_c"].to_numpy())
+        return rows.take(pa.array(first)).set_column(len(names) - 1, "_c", pa.array(total))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for b in batches:
+            for x in b["_rows"]:
+                held.append(pa.Table.from_batches([pa.ipc.read_record_batch(x.as_buffer(), schema)]))
+                size += len(held[-1])
+                if size > 4 * BLOCK:
+                    held = [merge(pa.concat_tables(held))]
+                    size = 0  # what is merged isn't counted again
+        if held:
+            out = merge(pa.concat_tables(held))
+            keep = out["_c"].to_numpy() >= least
+            keep |= reduce(lambda a, w: a & out[w].is_null().to_numpy(), words, np.ones(len(out), dtype=bool))
+            yield from out.filter(pa.array(keep)).to_batches(max_chunksize=1 << 16)
 
-    return src.mapInArrow(run, schema)
+    return block_counts(df, keys, F.lower(text), 2, True, parts, lowered=True).repartitionById(parts, "_part").mapInArrow(unpack, whole)
 
 
 def _discounts(c: DataFrame, modified: bool) -> DataFrame:

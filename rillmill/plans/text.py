@@ -105,8 +105,7 @@ def json_from_prose(spark, sf_dir):
 
 def bigram_llr(spark, sf_dir):
     """Collocations of each language by log-likelihood ratio and by Poisson surprise."""
-    pairs = L.neighbours(_docs(spark, sf_dir), ["lang"], X.tokens(F.col("text")))
-    return L.collocations(pairs, ["lang"]).select("lang", "left", "right", "joint", F.round("g2", 4).alias("g2"), F.round("surprise", 4).alias("surprise"))
+    return L.collocations(_docs(spark, sf_dir), ["lang"], F.col("text")).select("lang", "left", "right", "joint", F.round("g2", 4).alias("g2"), F.round("surprise", 4).alias("surprise"))
 
 
 def log_odds_lang(spark, sf_dir):

@@ -1,9 +1,11 @@
 """Steps whose cost once outgrew their input: the same results as naive versions, and the shape that keeps the cost down."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,31 @@ def test_quotes_are_sought_singly_only_where_they_are(monkeypatch):
     for size in (1, 3000, 1 << 22):
         monkeypatch.setattr(Quotes, "CHUNK", size)
         assert [sorted(h) for h in index.all_hits(texts)] == each
+
+
+def test_words_in_arrow_are_those_of_the_pattern():
+    rng = random.Random(6)
+    texts = ["", "'", "a'b'c'd5'e", "x'", "'y", "a''b", "é'a ü", "rock'n'roll", *("".join(rng.choice("ab1'' é") for _ in range(rng.randrange(12))) for _ in range(3000)), "z'"]
+    want = [re.findall("[a-z0-9]+(?:'[a-z]+)?", t) for t in texts]
+    assert language.word_lists(pa.array(texts)).to_pylist() == want
+    assert language.word_lists(pa.array(texts).slice(3, 900)).to_pylist() == want[3:903]
+    assert language.word_lists(pa.array(["", ""])).to_pylist() == [[], []]
+
+
+def test_pairs_are_moved_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(language, "BLOCK", 60)
+    rng = random.Random(7)
+    rows = [(rng.choice(["x", "y", None]), rng.choice([None, " ".join(rng.choice("aAbcd'e") for _ in range(rng.randrange(9)))])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, t string").repartition(3)
+    want = Counter((k, *w[i : i + 2]) for k, t in rows if k and t for w in [re.findall("[a-z0-9]+(?:'[a-z]+)?", t.lower())] for i in range(len(w) - 1))
+    left, right, whole = (Counter() for _ in range(3))
+    for (k, a, b), n in want.items():
+        left[k, a, None] += n
+        right[k, None, b] += n
+        whole[k, None, None] += n
+    all_ = want | left | right | whole
+    known = df.where("k is not null")
+    assert {(r["k"], r["t1"], r["t2"]): r["_c"] for r in language.summed_pairs(known, ["k"], F.col("t"), 40, 7).collect()} == {g: n for g, n in all_.items() if n >= 40 or g in whole}
+    moved = plan(language.summed_pairs(known, ["k"], F.col("t"), 5, 7))
+    assert moved.count("Exchange") == 2 and "Generate" not in moved and "regexp" not in moved
+    assert {tuple(r)[:4] for r in language.collocations(df, ["k"], F.col("t"), 40).collect()} == {(*g, n) for g, n in want.items() if n >= 40}

@@ -69,36 +69,42 @@ def style_features(df: DataFrame, text: str) -> DataFrame:
     """df with its column ``text`` replaced by the style of that text; rates are for 100 tokens, 0 where there are none. A null text is an empty one.
 
     What several figures need is a column of a select below, so it is computed once. Tokens are counted by patterns over their joined list,
-    which stays in generated code.
+    which stays in generated code; for those of the lexicons a list of these alone is made. No token crosses a sentence or a paragraph, so all of them over
+    the number of parts are the mean. Lower-case tokens are the others in lower case, but for two characters whose lower case has a letter of ASCII.
     """
     others = [c for c in df.columns if c != text]
     one = df.select(*others, F.coalesce(text, F.lit("")).alias("_x"))
     one = one.select(*others, "_x", F.lower("_x").alias("_low"))
-    one = one.select(*others, "_x", "_low", tokens(F.col("_x")).alias("_t"), F.array_join(found(F.col("_x"), TOKEN), " ").alias("_raw"))
-    one = one.select(*others, "_x", "_low", F.size("_t").alias("_n"), F.array_join("_t", " ").alias("_toks"), "_raw")
-    sizes = lambda end: F.transform(nonblank(F.split("_x", end)), lambda s: F.regexp_count(s, F.lit(TOKEN)))
-    one = one.select("*", sizes(SENTENCE_END).alias("_s"), sizes(PARAGRAPH_END).alias("_p"))
+    one = one.select(*others, "_x", "_low", F.array_join(found(F.col("_x"), TOKEN), " ").alias("_raw"))
+    odd = F.contains("_x", F.lit("\u212a")) | F.contains("_x", F.lit("\u0130"))
+    one = one.select("*", F.when(odd, F.array_join(tokens(F.col("_x")), " ")).otherwise(F.lower("_raw")).alias("_toks"))
+    listed = lambda words: f"(?<![^ ])(?:{'|'.join(words)})(?![^ ])"
+    size = lambda joined: F.when(joined == "", 0).otherwise(F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1)
+    known = sorted({w for words, _ in LEXICONS.values() for w in words})
+    one = one.select("*", size(F.col("_toks")).alias("_n"), size(F.col("_raw")).alias("_all"), F.array_join(found(F.concat(F.lit(" "), "_toks"), f" (?:{'|'.join(known)})(?![^ ])"), "").alias("_lex"))
+    sizes = F.transform(nonblank(F.split("_x", SENTENCE_END)), lambda s: F.regexp_count(s, F.lit(TOKEN)))
+    one = one.select("*", sizes.alias("_s"), F.size(nonblank(F.split("_x", PARAGRAPH_END))).alias("_p"))
     x, low, n, toks = F.col("_x"), F.col("_low"), F.col("_n"), F.col("_toks")
     count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
     per_100 = lambda v: F.coalesce(F.try_divide(100.0 * v, n), F.lit(0.0))
-    among = lambda words: count(toks, f"(?<![^ ])(?:{'|'.join(words)})(?![^ ])")
-    name = "(?!I(?![^ ]))[A-Z]"
-    code = F.length(x) - F.length(F.regexp_replace(x, "`[^`]*`", ""))
+    among = lambda words: count(F.col("_lex"), listed(words))
+    name = "(?!I(?![^ ]))[A-Z]"  # patterns begin with a character where they can, and look back from there: that is faster
+    code = F.when(F.contains(x, F.lit("`")), F.length(x) - F.length(F.regexp_replace(x, "`[^`]*`", ""))).otherwise(0)
     columns = {
         "n_tokens": n,
         "n_chars": F.length(x),
         "n_sentences": F.size("_s"),
-        "n_paragraphs": F.size("_p"),
-        "sentence_mean": mean(F.col("_s")),
+        "n_paragraphs": F.col("_p"),
+        "sentence_mean": F.coalesce(F.try_divide(F.col("_all").cast("double"), F.size("_s")), F.lit(0.0)),
         "sentence_sd": deviation(F.col("_s")),
         "word_mean": F.coalesce(F.try_divide((F.length(toks) - n + 1).cast("double"), n), F.lit(0.0)),
-        "paragraph_mean": mean(F.col("_p")),
+        "paragraph_mean": F.coalesce(F.try_divide(F.col("_all").cast("double"), F.col("_p")), F.lit(0.0)),
         **{f"{k}_rate": per_100(reduce(lambda a, p: a + occurrences(low, p), phrases, among(words))) for k, (words, phrases) in LEXICONS.items()},
-        "link_rate": per_100(count(x, r"https?://\S+")),
+        "link_rate": per_100(F.when(F.contains(x, F.lit("http")), count(x, r"https?://\S+")).otherwise(0)),
         "code_fraction": F.coalesce(F.try_divide(code, F.length(x)), F.lit(0.0)),
-        "number_rate": per_100(count(x, r"\b\d[\d.,]*\b")),
-        "name_rate": per_100(count(F.col("_raw"), f"(?<![^ ]){name}[^ ]* (?={name})")),
-        "quote_rate": F.coalesce(F.try_divide(count(x, r"(?:^|\n)[^\S\n]*>"), count(x, r"(?:^|\n)[^\S\n]*[^\s]")), F.lit(0.0)),
+        "number_rate": per_100(count(x, r"\d(?<=\b\d)[\d.,]*\b")),
+        "name_rate": per_100(count(F.col("_raw"), f"[A-Z](?<![^ ].)(?!(?<=I)(?![^ ]))[^ ]* (?={name})")),
+        "quote_rate": F.when(F.contains(x, F.lit(">")), F.coalesce(F.try_divide(count(x, r"(?:^|\n)[^\S\n]*>"), count(x, r"(?:^|\n)[^\S\n]*[^\s]")), F.lit(0.0))).otherwise(0.0),
         "question_rate": per_100(occurrences(x, "?")),
         "exclamation_rate": per_100(occurrences(x, "!")),
     }

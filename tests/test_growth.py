@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rillmill.functions import text as texts_
 from rillmill.functions.pythonic import Quotes
 from rillmill.operators import compose, language, recursion
 from rillmill.plans import dataflow, graphs, registry
@@ -149,3 +150,27 @@ def test_pairs_are_moved_by_blocks(spark, monkeypatch):
     moved = plan(language.summed_pairs(known, ["k"], F.col("t"), 5, 7))
     assert moved.count("Exchange") == 2 and "Generate" not in moved and "regexp" not in moved
     assert {tuple(r)[:4] for r in language.collocations(df, ["k"], F.col("t"), 40).collect()} == {(*g, n) for g, n in want.items() if n >= 40}
+
+
+def test_style_finds_the_tokens_of_a_text_once(spark):
+    texts = [None, "", " \n\n ", "Never 20 x\u212a of it, never I'd say! Kind of.\n \nMy my. You\u0130s Http https://x.y `a b`", "no\u212a No's maybe; It isn't.", "One Two's I Three\n\n\nfour?! 1.5, a2 3,x 4._ 55"]
+    df = texts_.style_features(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text")
+    assert plan(df).count("transform(") == 1  # tokens of paragraphs aren't sought again
+    assert plan(df).count("regexp_extract_all(lower(_x") == 1 and "CASE WHEN (Contains(_x" in plan(df)  # nor are those in lower case, but for rare letters
+    rows = {r["id"]: r for r in df.collect()}
+    for i, t in enumerate(texts):
+        t, r = t or "", rows[i]
+        raw = re.findall(texts_.TOKEN, t)
+        # Java's lower case of the dotted capital I is an i and a mark
+        toks = re.findall("[a-z0-9]+(?:'[a-z]+)?", t.lower())
+        parts = [[len(re.findall(texts_.TOKEN, p)) for p in re.split(e, t) if re.search(r"\S", p)] for e in (texts_.SENTENCE_END, texts_.PARAGRAPH_END)]
+        assert (r["n_tokens"], r["n_sentences"], r["n_paragraphs"]) == (len(toks), *map(len, parts))
+        assert (r["sentence_mean"], r["paragraph_mean"]) == pytest.approx([sum(p) / len(p) if p else 0 for p in parts])
+        assert r["word_mean"] == pytest.approx(sum(map(len, toks)) / len(toks) if toks else 0)
+        for k, (words, phrases) in texts_.LEXICONS.items():
+            n = sum(w in words for w in toks) + sum(t.lower().count(p) for p in phrases)
+            assert r[f"{k}_rate"] == pytest.approx(100 * n / len(toks) if toks else 0)
+        names = sum(a[0].isupper() and a != "I" and b[0].isupper() and b != "I" for a, b in zip(raw, raw[1:]))
+        assert r["name_rate"] == pytest.approx(100 * names / len(toks) if toks else 0)
+        assert r["number_rate"] == pytest.approx(100 * len(re.findall(r"\b\d[\d.,]*\b", t, re.A)) / len(toks) if toks else 0)
+        assert r["link_rate"] == pytest.approx(100 * len(re.findall(r"https?://\S+", t)) / len(toks) if toks else 0)
